@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportloom.llm import line_dedup, mixing, order_minhash, pii, quality_classifier, quality_rules, simhash, suffix_dedup, url_filter
+from reportloom.llm import line_dedup, mixing, order_minhash, pii, quality_classifier, quality_rules, sentence_pieces, simhash, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = sentence_pieces.encode(docs, keep_text=False, check=True)
+    digest = F.sha2(F.concat_ws(",", F.transform("ids", lambda x: x.cast("string"))), 256)
+    return out.select("doc_id", "n_tokens", digest.alias("ids_sha256"), "exact")
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,6 +66,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_sentence_pieces": op2_sentence_pieces,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_url_filter": op4_url_filter,
     "op5_order_minhash": op5_order_minhash,
