@@ -32,6 +32,7 @@ RADIUS = 3
 BITS = 64
 BUCKET = 2048
 SEED = 42
+_SALTS = np.random.default_rng(13).integers(0, 1 << 63, 32).astype(np.uint64)
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -145,23 +146,22 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     near = found.filter("b is not null").select("a", "b")
     large = found.filter("b is null").select("v", F.col("a").alias("fp"))
     if not large.isEmpty():
-        points = []
-        for m in tables:
-            free = [i for i in range(BITS) if not m >> i & 1]
-            flips = [0, *(1 << i for i in free), *(1 << i | 1 << j for i in free for j in free if i < j)]
-            points.append(F.array(*[F.lit(signed(x)) for x in flips]))
-        flips = F.element_at(F.array(*points), F.col("v") + 1)
-        dealt = large.select("v", "fp", F.explode(flips).alias("flip"))
-        dealt = dealt.select("v", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), (F.bit_count("flip") <= 1).alias("close"))
-        center = dealt.filter("close").groupBy("v", "point").agg(F.min("fp").alias("c"))
-        near = near.unionByName(dealt.join(center, ["v", "point"]).filter("fp <> c").select(F.col("c").alias("a"), F.col("fp").alias("b")).distinct())
+        near = near.unionByName(_through_points(large.select("v", F.lit(0).alias("bucket"), F.col("fp").alias("node"), "fp").withColumn("bucket", F.xxhash64("v", _masked(tables))), tables))
     return near
 
 
-def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id that links reach, for every row of docs."""
-    fps = materialize(add_fingerprints(docs.select(doc_id, text), text, drop_text=True, shingle=shingle), "fingerprints")
-    return named(fps, doc_id)
+def _masked(tables: list[int]):
+    return F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(signed(m)) for m in tables]), F.col("v") + 1))
+
+
+def _flips(tables: list[int]):
+    """What a member of a bucket of table v is changed by to reach all points within two bits that its key leaves free."""
+    points = []
+    for m in tables:
+        free = [i for i in range(BITS) if not m >> i & 1]
+        flips = [0, *(1 << i for i in free), *(1 << i | 1 << j for i in free for j in free if i < j)]
+        points.append(F.array(*[F.lit(signed(x)) for x in flips]))
+    return F.element_at(F.array(*points), F.col("v") + 1)
 
 
 def components(fps: DataFrame) -> DataFrame:
@@ -180,19 +180,187 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle:
     return fps.join(label.join(least, "component").select("fp", "component_id"), "fp", "left")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with one row of each group: that of the smallest doc_id, and of several such that of the smallest text hash.
+def sketch(text: bytes | None, shingle: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """count fingerprints of the set of words and count of the set of shingles, as uint64."""
+    words = text.lower().split() if text else []
+    if not words:
+        return np.zeros(count, np.uint64), np.zeros(count, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(words) - shingle + 1)
+    shingles = {joined[i:j] for i, j in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)}
+    return _majority(set(words), count), _majority(shingles, count)
+
+
+def _majority(features: set[bytes], count: int) -> np.ndarray:
+    h = np.fromiter((xxh64_intdigest(f, SEED) for f in features), np.uint64, len(features))
+    ones = np.zeros(BITS * count, np.int64)
+    with np.errstate(over="ignore"):
+        for k in range(0, len(h), 1 << 11):
+            x = (h[k : k + (1 << 11), None] ^ _SALTS[None, :count]) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(32)
+            ones += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<u8")
+
+
+def far_bits(similarity: float, count: int) -> int:
+    """Most differing bits of count fingerprints of sets whose Jaccard similarity is as large."""
+    cosine = 2 * similarity / (1 + similarity)
+    return int(BITS * count * np.arccos(cosine) / np.pi)
+
+
+def sketched_links(members: np.ndarray, sketches: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of members whose sketches differ in at most `most` bits."""
+    n = len(members)
+    label = np.arange(n)
+    near = np.zeros((n, n), bool)
+    for k in range(0, n, 64):
+        near[k : k + 64] = np.bitwise_count(sketches[k : k + 64, None, :] ^ sketches[None, :, :]).sum(axis=2, dtype=np.int64) <= most
+    while True:
+        low = np.where(near, label[None, :], n).min(axis=1)
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    return [(int(members[r]), int(members[k])) for k, r in enumerate(label) if k != r]
+
+
+def _sketches(docs: DataFrame, shingle: int, count: int) -> DataFrame:
+    """id, mark, words array<long>, shingles array<long>"""
+
+    def run(batches):
+        for batch in batches:
+            both = [sketch(t, shingle, count) for t in as_bytes(batch.column(2))]
+            lists = []
+            for k in range(2):
+                values = np.concatenate([b[k] for b in both]).view(np.int64) if both else np.empty(0, np.int64)
+                lists.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, count, dtype=np.int32)), pa.array(values)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "mark", "words", "shingles"])
+
+    return docs.mapInArrow(run, "doc_id long, mark long, words array<long>, shingles array<long>")
+
+
+def _shared(nodes: DataFrame, radius: int, bucket: int) -> DataFrame:
+    """(node, bucket, v): members of buckets with several nodes; equal buckets once. v >= 0: of buckets over the limit."""
+    tables = masks(radius)
+    keys = F.transform(
+        F.col("words"),
+        lambda fp, j: F.array(*[F.struct((j * len(tables) + v).alias("v"), fp.bitwiseAND(F.lit(signed(m))).alias("key"), fp.alias("fp")) for v, m in enumerate(tables)]),
+    )
+    dealt = nodes.select("node", F.explode(F.flatten(keys)).alias("x")).select("x.v", "x.key", "node", "x.fp")
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(n, "v", "key").sortWithinPartitions("v", "key", "node")
+
+    def run(batches):
+        held_v, held_key, held, fps, over = -1, 0, np.empty(0, np.int64), np.empty(0, np.int64), False
+        names = ["node", "bucket", "v", "fp"]
+
+        def rows(node, fp):
+            mark = -1 if not over else int(held_v)
+            own = xxh64_intdigest(node.tobytes()) if not over else xxh64_intdigest(f"{held_v}:{held_key}".encode())
+            return node, np.full(len(node), own, np.uint64).view(np.int64), np.full(len(node), mark, np.int32), fp
+
+        def batch_of(out):
+            columns = [np.concatenate([o[k] for o in out]) for k in range(4)] if out else [np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+        for batch in batches:
+            out = []
+            v, key, node, fp = (c.to_numpy() for c in batch.columns)
+            cuts = np.flatnonzero((v[1:] != v[:-1]) | (key[1:] != key[:-1])) + 1
+            bounds = np.concatenate(([0], cuts, [len(v)])) if len(v) else np.empty(0, np.int64)
+            # buckets of one node inside the batch are passed over at once
+            sizes = np.diff(bounds)
+            wanted = np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1)).tolist()
+            for k in wanted:
+                s, e = int(bounds[k]), int(bounds[k + 1])
+                if held_v == v[s] and held_key == key[s]:
+                    held, fps = np.concatenate([held, node[s:e]]), np.concatenate([fps, fp[s:e]])
+                else:
+                    if over and len(held) or len(held) > 1:
+                        out.append(rows(held, fps))
+                    held_v, held_key, held, fps, over = v[s], key[s], node[s:e], fp[s:e], False
+                if over or len(held) > bucket:
+                    over = True
+                    out.append(rows(held, fps))
+                    held, fps = held[:0], fps[:0]
+            yield batch_of(out)
+        yield batch_of([rows(held, fps)] if over and len(held) or len(held) > 1 else [])
+
+    return dealt.mapInArrow(run, "node long, bucket long, v int, fp long").dropDuplicates(["bucket", "node"])
+
+
+def similar_links(nodes: DataFrame, similarity: float, count: int, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b) between nodes (node, words, shingles) that share a bucket and have similar shingles.
+
+    A bucket's members are compared by all bits of their shingle fingerprints, whose differing share is the angle
+    between the sets. Where a bucket has more members than the limit, all of them whose word fingerprints are
+    within the radius are linked, through the points between them.
+    """
+    shared = materialize(_shared(nodes, radius, bucket), "shared")
+    usual = shared.filter("v < 0").select("bucket", "node").join(nodes.select("node", "shingles"), "node")
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    usual = usual.select("bucket", "node", "shingles").repartition(n, "bucket").sortWithinPartitions("bucket", "node")
+    most = far_bits(similarity, count)
+
+    def run(batches):
+        now, members, sketches = None, [], []
+
+        def solve():
+            if len(members) < 2:
+                return []
+            return sketched_links(np.array(members), np.array(sketches, np.int64).view(np.uint64).reshape(len(members), -1), most)
+
+        for batch in batches:
+            out = []
+            values = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+            for k, (b, node) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if b != now:
+                    out += solve()
+                    now, members, sketches = b, [], []
+                members.append(node)
+                sketches.append(values[k].copy())
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
+        out = solve()
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
+
+    found = usual.mapInArrow(run, "a long, b long").distinct()
+    large = shared.filter("v >= 0")
+    if not large.isEmpty():
+        tables = masks(radius)
+        found = found.unionByName(_through_points(large.select((F.col("v") % len(tables)).alias("v"), "bucket", "node", "fp"), tables))
+    return found
+
+
+def _through_points(members: DataFrame, tables: list[int]) -> DataFrame:
+    """Links (a, b) between nodes of a bucket whose fp is within 3 bits: everything at a point to one node close to it."""
+    dealt = members.select("bucket", "node", "fp", F.explode(_flips(tables)).alias("flip"))
+    dealt = dealt.select("bucket", "node", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), (F.bit_count("flip") <= 1).alias("close"))
+    center = dealt.filter("close").groupBy("bucket", "point").agg(F.min("node").alias("c"))
+    return dealt.join(center, ["bucket", "point"]).filter("node <> c").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, count: int = 12) -> DataFrame:
+    """docs with one row of each group of near copies: that of the smallest doc_id, and of several such that of the
+    smallest text hash. Near copies have shingle sets of the given Jaccard similarity, as their fingerprints tell.
 
-    Only fingerprints and ids take part in the choice; the texts are shuffled once, to be kept or dropped.
+    count fingerprints of each text's words, each with its own covering tables, bring near copies together: one
+    of them alone misses those that differ by chance in more than RADIUS of its bits. Only fingerprints and ids
+    take part in the choice; the texts are shuffled once, to be kept or dropped.
     """
     mark = F.xxhash64(F.col(text))
-    fps = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), mark.alias("mark"))
-    fps = materialize(add_fingerprints(fps, drop_text=True), "fingerprints")
-    rows = fps.groupBy("fp", "doc_id", "mark").agg(F.count(F.lit(1)).alias("copies"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), mark.alias("mark"), F.col(text).alias("text"))
+    rows = materialize(_sketches(rows, shingle, count).withColumn("node", F.xxhash64("words", "shingles")), "sketches")
+    nodes = materialize(rows.select("node", "words", "shingles").dropDuplicates(["node"]), "nodes")
+    label = connected_components(similar_links(nodes, similarity, count))
+    rows = rows.groupBy("node", "doc_id", "mark").agg(F.count(F.lit(1)).alias("copies"))
+    rows = rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
-    first = rows.join(components(fps), "fp").groupBy("component").agg(F.min_by(F.struct("doc_id", "mark", "copies"), order).alias("x"))
+    first = rows.groupBy("component").agg(F.min_by(F.struct("doc_id", "mark", "copies"), order).alias("x"))
     first = materialize(first.select(F.col("x.doc_id").alias("__id"), F.col("x.mark").alias("__mark"), F.col("x.copies").alias("__copies")), "kept")
-    kept = docs.join(first.drop("__copies"), docs[doc_id].eqNullSafe(first["__id"]) & (mark == first["__mark"]), "left_semi")
+    kept = docs.join(first.drop("__copies"), docs[doc_id].cast("long").eqNullSafe(first["__id"]) & (mark == first["__mark"]), "left_semi")
     if first.filter("__copies > 1").isEmpty():
         return kept
     # the same row several times: the copies meet by id and hash, of which each has few
