@@ -103,13 +103,11 @@ def with_registered_domain(rows: DataFrame, host: str, rules: DataFrame, domain:
         part = rules.select(F.col("suffix").alias(f"__s{k}"), F.col("kind").alias(f"__k{k}"))
         known = F.when(F.col("__n") >= k, F.substring_index("__host", ".", -k))
         rows = rows.join(F.broadcast(part), known == F.col(f"__s{k}"), "left").drop(f"__s{k}")
-    labels = F.lit(0)
-    for k in range(1, MOST_LABELS + 1):
-        kind = F.coalesce(F.col(f"__k{k}"), F.lit(0))
-        labels = F.when(kind.bitwiseAND(NORMAL) > 0, F.greatest(labels, F.lit(k))).otherwise(labels)
-        labels = F.when((kind.bitwiseAND(WILDCARD) > 0) & (F.col("__n") > k), F.greatest(labels, F.lit(k + 1))).otherwise(labels)
-    for k in range(2, MOST_LABELS + 1):
-        labels = F.when(F.coalesce(F.col(f"__k{k}"), F.lit(0)).bitwiseAND(EXCEPTION) > 0, F.lit(k - 1)).otherwise(labels)
+    kind = {k: F.coalesce(F.col(f"__k{k}"), F.lit(0)) for k in range(1, MOST_LABELS + 1)}
+    usual = [F.when(c.bitwiseAND(NORMAL) > 0, k) for k, c in kind.items()]
+    wild = [F.when((c.bitwiseAND(WILDCARD) > 0) & (F.col("__n") > k), k + 1) for k, c in kind.items()]
+    except_ = [F.when(c.bitwiseAND(EXCEPTION) > 0, k - 1) for k, c in kind.items()]
+    labels = F.coalesce(F.greatest(*except_), F.greatest(*usual, *wild), F.lit(0))
     rows = rows.withColumn("__labels", labels)
     parts = F.split("__host", "\\.")
     tail = lambda n: F.array_join(F.slice(parts, F.greatest(F.col("__n") - n + 1, F.lit(1)), n), ".")

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from reportloom.functions import text
 
@@ -43,7 +44,7 @@ def leaves(value: Column) -> Column:
     return _leaves(value)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _leaves(values: pd.Series) -> pd.Series:
     def walk(v, out):
         stack = [v]
@@ -195,7 +196,7 @@ def verify_summary(verified: DataFrame) -> DataFrame:
     return verified.agg(F.count(F.lit(1)).alias("files"), F.sum("records").alias("records"), F.bool_and("valid").alias("all_valid"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def object_in(values: pd.Series) -> pd.Series:
     """The JSON object in a model's answer: all of it without code fences, else from the first brace to the one that
     closes it, strings and escapes minded. Null if there is none or it is broken."""
