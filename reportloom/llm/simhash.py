@@ -82,7 +82,8 @@ def signed(x: int) -> int:
 
 def bucket_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links from each fingerprint to the smallest of its component within one bucket."""
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
+    bits = fps.view(np.uint64)  # of signed numbers bitwise_count counts the absolute value
+    near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= radius
     label = np.arange(len(fps))
     while True:
         low = np.where(near, label[None, :], len(fps)).min(axis=1)
