@@ -128,8 +128,10 @@ def _fit(labelled: DataFrame, url: str, made: Column, n: int) -> tuple[tuple[flo
     if n > MOST_LABELLED:
         labelled = labelled.filter(F.pmod(F.xxhash64(F.lit(3), url), F.lit(1_000_000)) < int(1_000_000 * MOST_LABELLED / n))
     rows = labelled.select(made.alias("f"), "blocked", F.pmod(F.xxhash64(F.lit(4), url), F.lit(4)).alias("part")).collect()  # bounded by MOST_LABELLED
-    x = np.array(sorted((*r.f, int(r.blocked), r.part) for r in rows), np.int64).reshape(len(rows), -1)
-    if not len(x) or x[:, -2].min() == x[:, -2].max():
+    if len({r.blocked for r in rows}) < 2:
+        return (0.0, []), 2.0
+    x = np.array(sorted((*r.f, int(r.blocked), r.part) for r in rows), np.int64)
+    if not (x[:, -1] > 0).any():
         return (0.0, []), 2.0
     left_out, blocked = x[:, -1] == 0, x[:, -2].astype(np.float64)
     model = boosting.fit(x[~left_out, :-2], blocked[~left_out], 1 - blocked[~left_out], trees=30, depth=3, least=5.0)
