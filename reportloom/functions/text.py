@@ -68,8 +68,11 @@ def _fold(c: Column, pairs: list[tuple[str, str]]) -> Column:
 
 
 def refang(c: Column) -> Column:
-    """Defanged indicators made whole again: the ordered replacements, whatever the case."""
-    return _fold(text_of(c), REFANG)
+    """Defanged indicators made whole again: the ordered replacements, whatever the case.
+
+    Texts without any bracket, scheme or dot that could be replaced are passed over.
+    """
+    return F.when(text_of(c).rlike(f"(?iuU)hxxp|[\\[({{]|{WS}dot{WS}"), _fold(text_of(c), REFANG)).otherwise(text_of(c))
 
 
 def refang_layout(c: Column) -> Column:

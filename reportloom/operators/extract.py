@@ -17,6 +17,16 @@ PATTERNS = [
     ("cve", r"(?iuU)\bCVE-\d{4}-\d{4,7}\b"),
     ("domain", r"(?U)\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.)+(?:[A-Za-z]{2,24})\b"),
 ]
+# What a text must have at least for a kind to be found: cheap to see, and most texts lack most of them.
+SIGNS = {
+    "url": r"://",
+    "ipv4": r"(?U)\d\.\d",
+    "sha256": r"[a-fA-F0-9]{64}",
+    "sha1": r"[a-fA-F0-9]{40}",
+    "md5": r"[a-fA-F0-9]{32}",
+    "cve": r"(?iu)CVE-",
+    "domain": r"[a-zA-Z0-9]\.[A-Za-z]{2}",
+}
 # What is never reported by the strict pass.
 BENIGN_DOMAINS = (
     "adobe.com ahnlab.com apple.com blackberry.com cafe24.com cert.pl cisa.gov cisecurity.org github.com "
@@ -56,10 +66,10 @@ def found(reports: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     All patterns run on one refanged column; only matches with their surroundings leave the row.
     """
     body = reports.select("report_id", text.unmarked(text.refang(F.col("text"))).alias("body"))
-    lists = []
+    lists, none = [], F.array().cast("array<struct<phase:int,kind:string,start:int,end:int,value:string>>")
     for phase, (kind, pattern) in enumerate(PATTERNS):
         if kinds is None or kind in kinds:
-            lists.append(_tagged(text.matches(F.col("body"), pattern), phase, kind))
+            lists.append(F.when(F.col("body").rlike(SIGNS[kind]), _tagged(text.matches(F.col("body"), pattern), phase, kind)).otherwise(none))
     rows = body.select("report_id", F.concat(*lists).alias("m"), "body")
     around = F.transform(
         "m",
