@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reportloom.functions import net, text, yaml
-from reportloom.operators import enrich, evaluate, evidence, extract, finetune, kb, mapping, retrieval, sigma
+from reportloom.operators import enrich, evaluate, evidence, extract, finetune, kb, mapping, records, retrieval, sigma
 from reportloom.plans import pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -829,6 +829,35 @@ def layout_flatten(spark, d):
     return enrich.flatten_layout(table(spark, d, "part").select(k.alias("report_id"), tree.alias("layout")))
 
 
+@query(f"""
+with c as (select report_id, type, count(*) as n from ({SYNTH_STRICT}) group by all)
+select report_id, sum(n)::bigint as iocs, string_agg(type || '=' || n, ',' order by type) as summary, 'cti-enriched-lite-v1' as version from c group by report_id
+""")
+def report_records(spark, d):
+    iocs = strict(spark, d)
+    out = records.reports(synth(spark, d).select("report_id", F.lit("a.pdf").alias("pdf_file")), iocs)
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("ioc_summary")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return out.select("report_id", F.size("iocs").cast("long").alias("iocs"), told.alias("summary"), F.col("schema_version").alias("version"))
+
+
+@query(f"""
+select m.report_id, string_agg(technique_id, ',' order by technique_id) as techniques, any_value(e) as evidence
+from ({MAPPED}) m join (select l_orderkey as report_id, count(*) as e from lineitem group by 1) l on l.report_id = m.report_id group by m.report_id
+""")
+def attack_records(spark, d):
+    rows = selections(spark, d)
+    found = mapping.aggregate(rows, techniques(spark, d), "x")
+    about = rows.select("report_id").distinct().withColumn("report_title", F.col("report_id").cast("string"))
+    out = records.attack_reports(about, found, mapping.summary(rows, found), "x", 10)
+    return out.select("report_id", F.array_join(F.transform("ttp_mappings", lambda m: m["technique_id"]), ",").alias("techniques"), F.col("mapping_summary.evidence_count").alias("evidence"))
+
+
+@query(f"{RULES} select count(*) as rule_count, count(distinct report_id) as reports_with_rules, 0::bigint as reports_without_rules from r")
+def rule_manifest(spark, d):
+    iocs, reports, mappings = rule_inputs(spark, d)
+    return records.rule_manifest(sigma.rules(iocs, reports, mappings), reports)
+
+
 # ---- the whole chain -----------------------------------------------------------------------------------------
 
 
