@@ -42,4 +42,16 @@ select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 from f join r on f.source is not distinct from r.source
 """
 
-SQL: dict[str, str] = {"op8_quality_rules": OP8}
+OP7 = r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+b as (select doc_id, substr(h, 2 * i + 1, 2) as byte, i, case when length(h) >= 2 * i + 200 then md5(substr(h, 2 * i + 1, 200)) end as win
+      from (select doc_id, h, unnest(range(0, length(h) // 2)) as i from d)),
+f as (select doc_id, byte, i, win is not null and row_number() over (partition by win order by doc_id, i) > 1 as again from b),
+c as (select doc_id, byte, i, bool_or(again) over (partition by doc_id order by i rows between 99 preceding and current row) as gone from f),
+s as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as starts from c),
+r as (select doc_id, count(*) filter (gone) as n_removed, count(*) filter (starts) as n_spans, coalesce(string_agg(byte, '' order by i) filter (not gone), '') as kept from s group by doc_id)
+select d.doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from d left join r on d.doc_id = r.doc_id
+"""
+
+SQL: dict[str, str] = {"op7_suffix_array_dedup": OP7, "op8_quality_rules": OP8}
