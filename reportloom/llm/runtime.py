@@ -6,6 +6,7 @@ import atexit
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,11 +74,12 @@ def partitions_for(df: DataFrame, column: str, per_task: int = TASK_BYTES) -> in
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / per_task))
 
 
-def as_bytes(column: pa.Array) -> list[bytes | None]:
-    """UTF-8 bytes of a string column, None where null."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+def as_bytes(column: pa.Array) -> Iterator[bytes | None]:
+    """UTF-8 bytes of a string column row by row, None where null. Only the row at hand is copied."""
+    data, offsets = flat(column)
+    valid = column.is_valid().to_numpy(zero_copy_only=False) if column.null_count else None
+    for k, (s, e) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
+        yield data[s:e].tobytes() if valid is None or valid[k] else None
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -22,6 +22,7 @@ alike. An empty table gives an empty result. Input columns with the names of add
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Bytes of text whose units are searched together.
 BLOCK = 4 << 20
 # Units whose ids a task remembers.
-KNOWN = 150_000
+KNOWN = 60_000
 # Longer units are searched one by one.
 LONG = 96
 UNKNOWN_PENALTY = 10.0
@@ -246,15 +247,16 @@ def decode_ids(table: Pieces, ids: np.ndarray, counts: np.ndarray) -> list[bytes
     return [data[s + 1 : e] for s, e in zip(ends, ends[1:], strict=False)]
 
 
-def _blocks(texts: list[bytes | None]):
-    start, size = 0, 0
-    for k, t in enumerate(texts):
+def _blocks(texts: Iterable[bytes | None]) -> Iterator[list[bytes | None]]:
+    block, size = [], 0
+    for t in texts:
+        block.append(t)
         size += len(t or b"")
         if size >= BLOCK:
-            yield texts[start : k + 1]
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield texts[start:]
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
 
 
 def encode(docs: DataFrame, text: str = "text", path: str = MODEL, keep_text: bool = True, check: bool = False) -> DataFrame:
@@ -269,9 +271,8 @@ def encode(docs: DataFrame, text: str = "text", path: str = MODEL, keep_text: bo
     def run(batches):
         table, known = sent.value, {}
         for batch in batches:
-            texts = as_bytes(batch.column(at))
             start = 0
-            for block in _blocks(texts):
+            for block in _blocks(as_bytes(batch.column(at))):
                 ids, counts = encode_texts(table, block, known)
                 null = np.array([t is None for t in block])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(ids), mask=pa.array(null))
