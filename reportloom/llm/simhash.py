@@ -32,6 +32,8 @@ RADIUS = 3
 BITS = 64
 BUCKET = 2048
 SEED = 42
+# Buckets of a node that are dealt out together.
+PIECE = 8
 _SALTS = np.random.default_rng(13).integers(0, 1 << 63, 32).astype(np.uint64)
 
 
@@ -243,21 +245,26 @@ def _sketches(docs: DataFrame, shingle: int, count: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, mark long, words array<long>, shingles array<long>")
 
 
-def _shared(nodes: DataFrame, radius: int, bucket: int) -> DataFrame:
-    """(node, bucket, v): members of buckets with several nodes; equal buckets once. v >= 0: of buckets over the limit."""
+def _shared(nodes: DataFrame, radius: int, bucket: int, first: int, last: int) -> DataFrame:
+    """(node, bucket, v): members of buckets of fingerprints first to last - 1 with nodes of several components (part);
+    equal buckets once. v >= 0: of buckets over the limit."""
     tables = masks(radius)
     keys = F.transform(
-        F.col("words"),
+        F.slice("words", first + 1, last - first),
         lambda fp, j: F.array(*[F.struct((j * len(tables) + v).alias("v"), fp.bitwiseAND(F.lit(signed(m))).alias("key"), fp.alias("fp")) for v, m in enumerate(tables)]),
     )
-    dealt = nodes.select("node", F.explode(F.flatten(keys)).alias("x")).select("x.v", "x.key", "node", "x.fp")
+    dealt = nodes.select("node", "part", F.explode(F.flatten(keys)).alias("x")).select("x.v", "x.key", "node", "x.fp", "part")
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "v", "key").sortWithinPartitions("v", "key", "node")
 
     def run(batches):
-        held_v, held_key, held, fps, over = -1, 0, np.empty(0, np.int64), np.empty(0, np.int64), False
+        none = np.empty(0, np.int64)
+        held_v, held_key, held, fps, parts, over = -1, 0, none, none, none, False
         names = ["node", "bucket", "v", "fp"]
 
+        def several(parts):
+            return len(parts) > 1 and bool((parts != parts[0]).any())
+
         def rows(node, fp):
             mark = -1 if not over else int(held_v)
             own = xxh64_intdigest(node.tobytes()) if not over else xxh64_intdigest(f"{held_v}:{held_key}".encode())
@@ -269,7 +276,7 @@ def _shared(nodes: DataFrame, radius: int, bucket: int) -> DataFrame:
 
         for batch in batches:
             out = []
-            v, key, node, fp = (c.to_numpy() for c in batch.columns)
+            v, key, node, fp, part = (c.to_numpy() for c in batch.columns)
             cuts = np.flatnonzero((v[1:] != v[:-1]) | (key[1:] != key[:-1])) + 1
             bounds = np.concatenate(([0], cuts, [len(v)])) if len(v) else np.empty(0, np.int64)
             # buckets of one node inside the batch are passed over at once
@@ -278,32 +285,50 @@ def _shared(nodes: DataFrame, radius: int, bucket: int) -> DataFrame:
             for k in wanted:
                 s, e = int(bounds[k]), int(bounds[k + 1])
                 if held_v == v[s] and held_key == key[s]:
-                    held, fps = np.concatenate([held, node[s:e]]), np.concatenate([fps, fp[s:e]])
+                    held, fps, parts = (np.concatenate(x) for x in ([held, node[s:e]], [fps, fp[s:e]], [parts, part[s:e]]))
                 else:
-                    if over and len(held) or len(held) > 1:
+                    if over and len(held) or several(parts):
                         out.append(rows(held, fps))
-                    held_v, held_key, held, fps, over = v[s], key[s], node[s:e], fp[s:e], False
+                    held_v, held_key, held, fps, parts, over = v[s], key[s], node[s:e], fp[s:e], part[s:e], False
                 if over or len(held) > bucket:
                     over = True
                     out.append(rows(held, fps))
-                    held, fps = held[:0], fps[:0]
+                    held, fps, parts = none, none, none
             yield batch_of(out)
-        yield batch_of([rows(held, fps)] if over and len(held) or len(held) > 1 else [])
+        yield batch_of([rows(held, fps)] if over and len(held) or several(parts) else [])
 
     return dealt.mapInArrow(run, "node long, bucket long, v int, fp long").dropDuplicates(["bucket", "node"])
 
 
-def similar_links(nodes: DataFrame, similarity: float, count: int, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) between nodes (node, words, shingles) that share a bucket and have similar shingles.
+def similar_components(nodes: DataFrame, similarity: float, count: int, early: int = 3) -> DataFrame:
+    """(node, component) of nodes (node, words, shingles) that have links: the tables of the first `early` fingerprints,
+    then those of the others, where a bucket whose nodes are one component by then has nothing left to link."""
+    part = nodes.withColumn("part", F.col("node"))
+    found = materialize(similar_links(part, similarity, count, 0, min(early, count)), "similar")
+    label = connected_components(found)
+    if early >= count:
+        return label
+    part = materialize(nodes.join(label, "node", "left").select(*nodes.columns, F.coalesce("component", "node").alias("part")), "parts")
+    return connected_components(found.unionByName(similar_links(part, similarity, count, early, count)))
+
+
+def similar_links(nodes: DataFrame, similarity: float, count: int, first: int, last: int, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b) between nodes (node, words, shingles, part) that share a bucket of fingerprints first to last - 1
+    and have similar shingles.
 
     A bucket's members are compared by all bits of their shingle fingerprints, whose differing share is the angle
     between the sets. Where a bucket has more members than the limit, all of them whose word fingerprints are
     within the radius are linked, through the points between them.
     """
-    shared = materialize(_shared(nodes, radius, bucket), "shared")
-    usual = shared.filter("v < 0").select("bucket", "node").join(nodes.select("node", "shingles"), "node")
+    shared = materialize(_shared(nodes, radius, bucket, first, last), "shared")
+    # a node's sketch meets its list of buckets, at most one for each table, in one row; lists are dealt out in pieces,
+    # so that nodes with many buckets do not make one task's work
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    usual = usual.select("bucket", "node", "shingles").repartition(n, "bucket").sortWithinPartitions("bucket", "node")
+    lists = shared.filter("v < 0").groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
+    pieces = F.transform(F.sequence(F.lit(0), F.size("buckets") - 1, F.lit(PIECE)), lambda i: F.slice("buckets", i + 1, F.lit(PIECE)))
+    usual = lists.join(nodes.select("node", "shingles"), "node").select("node", "shingles", F.posexplode(pieces).alias("piece", "some"))
+    usual = usual.repartition(n, "node", "piece").select(F.explode("some").alias("bucket"), "node", "shingles")
+    usual = usual.repartition(n, "bucket").sortWithinPartitions("bucket", "node")
     most = far_bits(similarity, count)
 
     def run(batches):
@@ -355,7 +380,7 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), mark.alias("mark"), F.col(text).alias("text"))
     rows = materialize(_sketches(rows, shingle, count).withColumn("node", F.xxhash64("words", "shingles")), "sketches")
     nodes = materialize(rows.select("node", "words", "shingles").dropDuplicates(["node"]), "nodes")
-    label = connected_components(similar_links(nodes, similarity, count))
+    label = similar_components(nodes, similarity, count)
     rows = rows.groupBy("node", "doc_id", "mark").agg(F.count(F.lit(1)).alias("copies"))
     rows = rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
