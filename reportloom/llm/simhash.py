@@ -246,8 +246,8 @@ def _sketches(docs: DataFrame, shingle: int, count: int) -> DataFrame:
 
 
 def _shared(nodes: DataFrame, radius: int, bucket: int, first: int, last: int) -> DataFrame:
-    """(node, bucket, v): members of buckets of fingerprints first to last - 1 with nodes of several components (part);
-    equal buckets once. v >= 0: of buckets over the limit."""
+    """(own, bucket, v, members, fps): buckets of fingerprints first to last - 1 with nodes of several components (part),
+    a row for each, equal ones once. v >= 0: parts of a bucket over the limit, with the members' fingerprints."""
     tables = masks(radius)
     keys = F.transform(
         F.slice("words", first + 1, last - first),
@@ -260,19 +260,21 @@ def _shared(nodes: DataFrame, radius: int, bucket: int, first: int, last: int) -
     def run(batches):
         none = np.empty(0, np.int64)
         held_v, held_key, held, fps, parts, over = -1, 0, none, none, none, False
-        names = ["node", "bucket", "v", "fp"]
 
         def several(parts):
             return len(parts) > 1 and bool((parts != parts[0]).any())
 
-        def rows(node, fp):
-            mark = -1 if not over else int(held_v)
-            own = xxh64_intdigest(node.tobytes()) if not over else xxh64_intdigest(f"{held_v}:{held_key}".encode())
-            return node, np.full(len(node), own, np.uint64).view(np.int64), np.full(len(node), mark, np.int32), fp
+        def row(node, fp):
+            own = xxh64_intdigest(node.tobytes())
+            if not over:
+                return own, own, -1, node, none
+            return xxh64_intdigest(f"{held_v}:{held_key}:{own}"), xxh64_intdigest(f"{held_v}:{held_key}"), int(held_v), node, fp
 
         def batch_of(out):
-            columns = [np.concatenate([o[k] for o in out]) for k in range(4)] if out else [np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+            own, name, v, node, fp = zip(*out, strict=True) if out else [()] * 5
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate([none, *x]))) for x in (node, fp)]
+            ids = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (own, name)]
+            return pa.RecordBatch.from_arrays([*ids, pa.array(v, pa.int32()), *lists], names=["own", "bucket", "v", "members", "fps"])
 
         for batch in batches:
             out = []
@@ -288,16 +290,16 @@ def _shared(nodes: DataFrame, radius: int, bucket: int, first: int, last: int) -
                     held, fps, parts = (np.concatenate(x) for x in ([held, node[s:e]], [fps, fp[s:e]], [parts, part[s:e]]))
                 else:
                     if over and len(held) or several(parts):
-                        out.append(rows(held, fps))
+                        out.append(row(held, fps))
                     held_v, held_key, held, fps, parts, over = v[s], key[s], node[s:e], fp[s:e], part[s:e], False
                 if over or len(held) > bucket:
                     over = True
-                    out.append(rows(held, fps))
+                    out.append(row(held, fps))
                     held, fps, parts = none, none, none
             yield batch_of(out)
-        yield batch_of([rows(held, fps)] if over and len(held) or several(parts) else [])
+        yield batch_of([row(held, fps)] if over and len(held) or several(parts) else [])
 
-    return dealt.mapInArrow(run, "node long, bucket long, v int, fp long").dropDuplicates(["bucket", "node"])
+    return dealt.mapInArrow(run, "own long, bucket long, v int, members array<long>, fps array<long>").dropDuplicates(["own"])
 
 
 def similar_components(nodes: DataFrame, similarity: float, count: int, early: int = 3) -> DataFrame:
@@ -324,7 +326,7 @@ def similar_links(nodes: DataFrame, similarity: float, count: int, first: int, l
     # a node's sketch meets its list of buckets, at most one for each table, in one row; lists are dealt out in pieces,
     # so that nodes with many buckets do not make one task's work
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = shared.filter("v < 0").groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
+    lists = shared.filter("v < 0").select("bucket", F.explode("members").alias("node")).groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
     pieces = F.transform(F.sequence(F.lit(0), F.size("buckets") - 1, F.lit(PIECE)), lambda i: F.slice("buckets", i + 1, F.lit(PIECE)))
     usual = lists.join(nodes.select("node", "shingles"), "node").select("node", "shingles", F.posexplode(pieces).alias("piece", "some"))
     usual = usual.repartition(n, "node", "piece").select(F.explode("some").alias("bucket"), "node", "shingles")
@@ -356,7 +358,8 @@ def similar_links(nodes: DataFrame, similarity: float, count: int, first: int, l
     large = shared.filter("v >= 0")
     if not large.isEmpty():
         tables = masks(radius)
-        found = found.unionByName(_through_points(large.select((F.col("v") % len(tables)).alias("v"), "bucket", "node", "fp"), tables))
+        each = large.select((F.col("v") % len(tables)).alias("v"), "bucket", F.explode(F.arrays_zip("members", "fps")).alias("m"))
+        found = found.unionByName(_through_points(each.select("v", "bucket", F.col("m.members").alias("node"), F.col("m.fps").alias("fp")), tables))
     return found
 
 
