@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
@@ -246,39 +246,39 @@ def _sketches(docs: DataFrame, shingle: int, count: int) -> DataFrame:
 
 
 def _shared(nodes: DataFrame, radius: int, bucket: int, first: int, last: int) -> DataFrame:
-    """(own, bucket, v, members, fps): buckets of fingerprints first to last - 1 with nodes of several components (part),
-    a row for each, equal ones once. v >= 0: parts of a bucket over the limit, with the members' fingerprints."""
+    """(own, bucket, v, members): buckets of fingerprints first to last - 1 with nodes of several components (part),
+    a row for each, equal ones once. v >= 0: parts of a bucket over the limit."""
     tables = masks(radius)
     keys = F.transform(
         F.slice("words", first + 1, last - first),
-        lambda fp, j: F.array(*[F.struct((j * len(tables) + v).alias("v"), fp.bitwiseAND(F.lit(signed(m))).alias("key"), fp.alias("fp")) for v, m in enumerate(tables)]),
+        lambda fp, j: F.array(*[F.struct((j * len(tables) + v).alias("v"), fp.bitwiseAND(F.lit(signed(m))).alias("key")) for v, m in enumerate(tables)]),
     )
-    dealt = nodes.select("node", "part", F.explode(F.flatten(keys)).alias("x")).select("x.v", "x.key", "node", "x.fp", "part")
+    dealt = nodes.select("node", "part", F.explode(F.flatten(keys)).alias("x")).select("x.v", "x.key", "node", "part")
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "v", "key").sortWithinPartitions("v", "key", "node")
 
     def run(batches):
         none = np.empty(0, np.int64)
-        held_v, held_key, held, fps, parts, over = -1, 0, none, none, none, False
+        held_v, held_key, held, parts, over = -1, 0, none, none, False
 
         def several(parts):
             return len(parts) > 1 and bool((parts != parts[0]).any())
 
-        def row(node, fp):
+        def row(node):
             own = xxh64_intdigest(node.tobytes())
             if not over:
-                return own, own, -1, node, none
-            return xxh64_intdigest(f"{held_v}:{held_key}:{own}"), xxh64_intdigest(f"{held_v}:{held_key}"), int(held_v), node, fp
+                return own, own, -1, node
+            return xxh64_intdigest(f"{held_v}:{held_key}:{own}"), xxh64_intdigest(f"{held_v}:{held_key}"), int(held_v), node
 
         def batch_of(out):
-            own, name, v, node, fp = zip(*out, strict=True) if out else [()] * 5
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate([none, *x]))) for x in (node, fp)]
+            own, name, v, node = zip(*out, strict=True) if out else [()] * 4
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, node)]).astype(np.int32)), pa.array(np.concatenate([none, *node])))
             ids = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (own, name)]
-            return pa.RecordBatch.from_arrays([*ids, pa.array(v, pa.int32()), *lists], names=["own", "bucket", "v", "members", "fps"])
+            return pa.RecordBatch.from_arrays([*ids, pa.array(v, pa.int32()), lists], names=["own", "bucket", "v", "members"])
 
         for batch in batches:
             out = []
-            v, key, node, fp, part = (c.to_numpy() for c in batch.columns)
+            v, key, node, part = (c.to_numpy() for c in batch.columns)
             cuts = np.flatnonzero((v[1:] != v[:-1]) | (key[1:] != key[:-1])) + 1
             bounds = np.concatenate(([0], cuts, [len(v)])) if len(v) else np.empty(0, np.int64)
             # buckets of one node inside the batch are passed over at once
@@ -287,19 +287,19 @@ def _shared(nodes: DataFrame, radius: int, bucket: int, first: int, last: int) -
             for k in wanted:
                 s, e = int(bounds[k]), int(bounds[k + 1])
                 if held_v == v[s] and held_key == key[s]:
-                    held, fps, parts = (np.concatenate(x) for x in ([held, node[s:e]], [fps, fp[s:e]], [parts, part[s:e]]))
+                    held, parts = np.concatenate([held, node[s:e]]), np.concatenate([parts, part[s:e]])
                 else:
                     if over and len(held) or several(parts):
-                        out.append(row(held, fps))
-                    held_v, held_key, held, fps, parts, over = v[s], key[s], node[s:e], fp[s:e], part[s:e], False
+                        out.append(row(held))
+                    held_v, held_key, held, parts, over = v[s], key[s], node[s:e], part[s:e], False
                 if over or len(held) > bucket:
                     over = True
-                    out.append(row(held, fps))
-                    held, fps, parts = none, none, none
+                    out.append(row(held))
+                    held, parts = none, none
             yield batch_of(out)
-        yield batch_of([row(held, fps)] if over and len(held) or several(parts) else [])
+        yield batch_of([row(held)] if over and len(held) or several(parts) else [])
 
-    return dealt.mapInArrow(run, "own long, bucket long, v int, members array<long>, fps array<long>").dropDuplicates(["own"])
+    return dealt.mapInArrow(run, "own long, bucket long, v int, members array<long>").dropDuplicates(["own"])
 
 
 def similar_components(nodes: DataFrame, similarity: float, count: int, early: int = 3) -> DataFrame:
@@ -319,18 +319,62 @@ def similar_links(nodes: DataFrame, similarity: float, count: int, first: int, l
     and have similar shingles.
 
     A bucket's members are compared by all bits of their shingle fingerprints, whose differing share is the angle
-    between the sets. Where a bucket has more members than the limit, all of them whose word fingerprints are
-    within the radius are linked, through the points between them.
+    between the sets. A bucket with more members than the limit goes through the same comparison in units: first in
+    chunks that have some members in common, which joins large groups, then in pairs of blocks. Every two members
+    that are not one component by then meet in a pair of blocks.
     """
     shared = materialize(_shared(nodes, radius, bucket, first, last), "shared")
-    # a node's sketch meets its list of buckets, at most one for each table, in one row; lists are dealt out in pieces,
-    # so that nodes with many buckets do not make one task's work
+    units = shared.filter("v < 0").select(F.col("bucket").alias("unit"), F.explode("members").alias("node"))
+    large = shared.filter("v >= 0").select("bucket", F.explode("members").alias("node"))
+    if large.isEmpty():
+        return _compared(units, nodes, similarity, count)
+    large = materialize(_different(large), "large")
+    found = materialize(_compared(units.unionByName(_chunks(large, bucket)), nodes, similarity, count), "found")
+    known = found.unionByName(nodes.filter("node <> part").select(F.col("part").alias("a"), F.col("node").alias("b")))
+    label = connected_components(known)
+    part = materialize(nodes.drop("part").join(label, "node", "left").withColumn("part", F.coalesce("component", "node")).select(*nodes.columns), "parts")
+    pairs = materialize(_block_pairs(large, part, bucket), "pairs")
+    return found.unionByName(_compared(pairs, part, similarity, count))
+
+
+def _different(large: DataFrame) -> DataFrame:
+    """(bucket, node, n): large buckets with the number of their members, those with the same members once."""
+    sums = large.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"))
+    return large.join(sums.groupBy("n", "s").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "bucket")
+
+
+def _chunks(large: DataFrame, bucket: int) -> DataFrame:
+    """(unit, node): the members dealt out to chunks of half the limit, about an eighth of the limit to all of them."""
+    count = F.ceil(F.col("n") / max(bucket // 2, 1))
+    in_all = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("n")) < max(bucket // 8, 1)
+    chunk = F.when(in_all, F.sequence(F.lit(0).cast("long"), count - 1)).otherwise(F.array(F.pmod(F.xxhash64(F.lit(6), "node"), count)))
+    return large.select("bucket", "node", F.explode(chunk).alias("chunk")).select(F.xxhash64("bucket", F.lit(-1), "chunk").alias("unit"), "node")
+
+
+def _block_pairs(large: DataFrame, nodes: DataFrame, bucket: int) -> DataFrame:
+    """(unit, node): all pairs of blocks of half the limit, in order of component; none where a pair is one component."""
+    rows = large.join(nodes.select("node", "part"), "node")
+    several = rows.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("bucket")
+    order = Window.partitionBy("bucket").orderBy("part", "node")
+    block = F.floor((F.row_number().over(order) - 1) / max(bucket // 2, 1))
+    rows = materialize(rows.join(several, "bucket").select("bucket", "node", "part", block.alias("block")), "blocks")
+    blocks = rows.groupBy("bucket", "block").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
+    x, y = (blocks.select("bucket", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "lo", "hi")]) for k in "xy")
+    pairs = x.join(y, "bucket").filter("block_x < block_y and least(lo_x, lo_y) <> greatest(hi_x, hi_y)")
+    pairs = pairs.select("bucket", F.xxhash64("bucket", "block_x", "block_y").alias("unit"), F.explode(F.array("block_x", "block_y")).alias("block"))
+    return rows.join(pairs, ["bucket", "block"]).select("unit", "node")
+
+
+def _compared(units: DataFrame, nodes: DataFrame, similarity: float, count: int) -> DataFrame:
+    """Links (a, b) between the nodes of a unit (unit, node) that have similar shingles."""
+    # a node's sketch meets its list of units, at most one for each table, in one row; lists are dealt out in pieces,
+    # so that nodes with many units do not make one task's work
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = shared.filter("v < 0").select("bucket", F.explode("members").alias("node")).groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
-    pieces = F.transform(F.sequence(F.lit(0), F.size("buckets") - 1, F.lit(PIECE)), lambda i: F.slice("buckets", i + 1, F.lit(PIECE)))
+    lists = units.groupBy("node").agg(F.collect_list("unit").alias("units"))
+    pieces = F.transform(F.sequence(F.lit(0), F.size("units") - 1, F.lit(PIECE)), lambda i: F.slice("units", i + 1, F.lit(PIECE)))
     usual = lists.join(nodes.select("node", "shingles"), "node").select("node", "shingles", F.posexplode(pieces).alias("piece", "some"))
-    usual = usual.repartition(n, "node", "piece").select(F.explode("some").alias("bucket"), "node", "shingles")
-    usual = usual.repartition(n, "bucket").sortWithinPartitions("bucket", "node")
+    usual = usual.repartition(n, "node", "piece").select(F.explode("some").alias("unit"), "node", "shingles")
+    usual = usual.repartition(n, "unit").sortWithinPartitions("unit", "node")
     most = far_bits(similarity, count)
 
     def run(batches):
@@ -354,13 +398,7 @@ def similar_links(nodes: DataFrame, similarity: float, count: int, first: int, l
         out = solve()
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
 
-    found = usual.mapInArrow(run, "a long, b long").distinct()
-    large = shared.filter("v >= 0")
-    if not large.isEmpty():
-        tables = masks(radius)
-        each = large.select((F.col("v") % len(tables)).alias("v"), "bucket", F.explode(F.arrays_zip("members", "fps")).alias("m"))
-        found = found.unionByName(_through_points(each.select("v", "bucket", F.col("m.members").alias("node"), F.col("m.fps").alias("fp")), tables))
-    return found
+    return usual.mapInArrow(run, "a long, b long").distinct()
 
 
 def _through_points(members: DataFrame, tables: list[int]) -> DataFrame:

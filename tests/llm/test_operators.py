@@ -521,6 +521,16 @@ def test_one_of_each(spark, bucket, monkeypatch):
     assert len(kept) == len(set(kept)) and set(ids[-20:]) <= set(kept)
 
 
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 4])
+def test_equal_words_in_another_order_stay(spark, bucket, monkeypatch):
+    w = words(120, 5, 10**6).split()
+    texts = [" ".join(random.Random(k).sample(w, len(w))) for k in range(15)]
+    texts += [f"{texts[3]} end", f"{texts[3]} end more", f"{texts[9]} other"]
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (simhash.RADIUS, bucket))
+    kept = sorted(r.doc_id for r in simhash.one_of_each(table(spark, texts)).collect())
+    assert kept == list(range(15))
+
+
 def test_components(spark):
     r = random.Random(6)
     links = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)] + [(7, 7), (None, 3)]
