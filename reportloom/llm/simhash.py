@@ -18,6 +18,8 @@ An empty table gives an empty result. Input columns with the names of added ones
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,7 +28,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
 from reportloom.llm.components import connected_components
-from reportloom.llm.runtime import as_bytes, materialize
+from reportloom.llm.runtime import as_bytes, materialize, ranges
 
 RADIUS = 3
 BITS = 64
@@ -183,17 +185,29 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle:
     return fps.join(label.join(least, "component").select("fp", "component_id"), "fp", "left")
 
 
+def shingles_of(words: list[bytes], shingle: int) -> set[bytes]:
+    """The different shingles of some words; fewer words than a shingle has are one."""
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(words) - shingle + 1)
+    return {joined[i:j] for i, j in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)}
+
+
 def sketch(text: bytes | None, shingle: int, count: int) -> tuple[np.ndarray, np.ndarray]:
     """count fingerprints of the set of words and count of the set of shingles, as uint64."""
     words = text.lower().split() if text else []
     if not words:
         return np.zeros(count, np.uint64), np.zeros(count, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - shingle + 1)
-    shingles = {joined[i:j] for i, j in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)}
-    return _majority(set(words), count), _majority(shingles, count)
+    return _majority(set(words), count), _majority(shingles_of(words, shingle), count)
+
+
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """The different shingles of a text as sorted 64-bit hashes."""
+    words = text.lower().split() if text else []
+    if not words:
+        return np.empty(0, np.int64)
+    return np.unique(np.fromiter((xxh64_intdigest(x, SEED) for x in shingles_of(words, shingle)), np.uint64)).view(np.int64)
 
 
 def _majority(features: set[bytes], count: int) -> np.ndarray:
@@ -208,26 +222,60 @@ def _majority(features: set[bytes], count: int) -> np.ndarray:
     return np.packbits(2 * ones > len(h), bitorder="little").view("<u8")
 
 
-def far_bits(similarity: float, count: int) -> int:
-    """Most differing bits of count fingerprints of sets whose Jaccard similarity is as large."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(BITS * count * np.arccos(cosine) / np.pi)
+def far_bits(similarity: float, count: int, deviations: float = 7) -> int:
+    """Most differing bits by which count fingerprints of sets of at least this Jaccard similarity are looked at.
+
+    The expected number and some standard deviations more: a share of .15 at 0.8 becomes .24. Sets of four and five
+    shingles differ in .19 of the bits, more than the angle says, so that three deviations would not do.
+    """
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(BITS * count * share + deviations * np.sqrt(BITS * count * share * (1 - share)))
 
 
-def sketched_links(members: np.ndarray, sketches: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of members whose sketches differ in at most `most` bits."""
-    n = len(members)
+def clumps(parts: np.ndarray, sketches: np.ndarray, most: int) -> list[np.ndarray]:
+    """Components of the pairs of different parts whose sketches differ in at most `most` bits, as places."""
+    n = len(parts)
     label = np.arange(n)
     near = np.zeros((n, n), bool)
     for k in range(0, n, 64):
         near[k : k + 64] = np.bitwise_count(sketches[k : k + 64, None, :] ^ sketches[None, :, :]).sum(axis=2, dtype=np.int64) <= most
+        near[k : k + 64] &= parts[k : k + 64, None] != parts[None, :]
+    np.fill_diagonal(near, True)
     while True:
         low = np.where(near, label[None, :], n).min(axis=1)
         low = low[low]
         if (low == label).all():
             break
         label = low
-    return [(int(members[r]), int(members[k])) for k, r in enumerate(label) if k != r]
+    order = np.argsort(label, kind="stable")
+    return [x for x in np.split(order, np.flatnonzero(np.diff(label[order])) + 1) if len(x) > 1]
+
+
+def similar_pairs(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs (places) of sets of different numbers whose Jaccard similarity is as large."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    owners = np.repeat(np.arange(n), sizes)[np.argsort(ids, kind="stable")]
+    held = np.bincount(ids) if len(ids) else np.empty(0, np.int64)
+    starts = np.cumsum(held) - held
+    fresh, out = np.ones(n, bool), []
+    for root in range(n):
+        if not fresh[root]:
+            continue
+        fresh[root] = False
+        todo = [root]
+        while todo and fresh.any():
+            k = todo.pop()
+            own = ids[bounds[k] : bounds[k + 1]]
+            common = np.bincount(owners[ranges(starts[own], held[own])], minlength=n)
+            # sets without members are equal
+            near = np.flatnonzero(fresh & (common >= similarity * (sizes + sizes[k] - common) - 1e-9))
+            fresh[near] = False
+            out += [(k, x) for x in near.tolist()]
+            todo += near.tolist()
+    return out
 
 
 def _sketches(docs: DataFrame, shingle: int, count: int) -> DataFrame:
@@ -245,6 +293,18 @@ def _sketches(docs: DataFrame, shingle: int, count: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, mark long, words array<long>, shingles array<long>")
 
 
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, set array<long>"""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in as_bytes(batch.column(1))]
+            values = pa.array(np.concatenate([np.empty(0, np.int64), *sets]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), values)], names=["node", "set"])
+
+    return texts.mapInArrow(run, "node long, set array<long>")
+
+
 def _shared(nodes: DataFrame, radius: int, bucket: int, first: int, last: int) -> DataFrame:
     """(own, bucket, v, members): buckets of fingerprints first to last - 1 with nodes of several components (part),
     a row for each, equal ones once. v >= 0: parts of a bucket over the limit."""
@@ -302,24 +362,25 @@ def _shared(nodes: DataFrame, radius: int, bucket: int, first: int, last: int) -
     return dealt.mapInArrow(run, "own long, bucket long, v int, members array<long>").dropDuplicates(["own"])
 
 
-def similar_components(nodes: DataFrame, similarity: float, count: int, early: int = 3) -> DataFrame:
+def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, count: int, early: int = 3) -> DataFrame:
     """(node, component) of nodes (node, words, shingles) that have links: the tables of the first `early` fingerprints,
-    then those of the others, where a bucket whose nodes are one component by then has nothing left to link."""
+    then those of the others, where a bucket whose nodes are one component by then has nothing left to link.
+    sets_of(nodes) gives (node, set), their shingle sets."""
     part = nodes.withColumn("part", F.col("node"))
-    found = materialize(similar_links(part, similarity, count, 0, min(early, count)), "similar")
+    found = materialize(similar_links(part, sets_of, similarity, count, 0, min(early, count)), "similar")
     label = connected_components(found)
     if early >= count:
         return label
     part = materialize(nodes.join(label, "node", "left").select(*nodes.columns, F.coalesce("component", "node").alias("part")), "parts")
-    return connected_components(found.unionByName(similar_links(part, similarity, count, early, count)))
+    return connected_components(found.unionByName(similar_links(part, sets_of, similarity, count, early, count)))
 
 
-def similar_links(nodes: DataFrame, similarity: float, count: int, first: int, last: int, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, count: int, first: int, last: int, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) between nodes (node, words, shingles, part) that share a bucket of fingerprints first to last - 1
     and have similar shingles.
 
     A bucket's members are compared by all bits of their shingle fingerprints, whose differing share is the angle
-    between the sets. A bucket with more members than the limit goes through the same comparison in units: first in
+    between the sets; those that may be similar by it are compared by the sets themselves. A bucket with more members than the limit goes through the same comparison in units: first in
     chunks that have some members in common, which joins large groups, then in pairs of blocks. Every two members
     that are not one component by then meet in a pair of blocks.
     """
@@ -327,14 +388,14 @@ def similar_links(nodes: DataFrame, similarity: float, count: int, first: int, l
     units = shared.filter("v < 0").select(F.col("bucket").alias("unit"), F.explode("members").alias("node"))
     large = shared.filter("v >= 0").select("bucket", F.explode("members").alias("node"))
     if large.isEmpty():
-        return _compared(units, nodes, similarity, count)
+        return _compared(units, nodes, sets_of, similarity, count)
     large = materialize(_different(large), "large")
-    found = materialize(_compared(units.unionByName(_chunks(large, bucket)), nodes, similarity, count), "found")
+    found = materialize(_compared(units.unionByName(_chunks(large, bucket)), nodes, sets_of, similarity, count), "found")
     known = found.unionByName(nodes.filter("node <> part").select(F.col("part").alias("a"), F.col("node").alias("b")))
     label = connected_components(known)
     part = materialize(nodes.drop("part").join(label, "node", "left").withColumn("part", F.coalesce("component", "node")).select(*nodes.columns), "parts")
     pairs = materialize(_block_pairs(large, part, bucket), "pairs")
-    return found.unionByName(_compared(pairs, part, similarity, count))
+    return found.unionByName(_compared(pairs, part, sets_of, similarity, count))
 
 
 def _different(large: DataFrame) -> DataFrame:
@@ -365,40 +426,81 @@ def _block_pairs(large: DataFrame, nodes: DataFrame, bucket: int) -> DataFrame:
     return rows.join(pairs, ["bucket", "block"]).select("unit", "node")
 
 
-def _compared(units: DataFrame, nodes: DataFrame, similarity: float, count: int) -> DataFrame:
-    """Links (a, b) between the nodes of a unit (unit, node) that have similar shingles."""
+def _compared(units: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, count: int) -> DataFrame:
+    """Links (a, b) between the nodes of a unit (unit, node) that have similar shingle sets."""
+    found = materialize(_clumps(units, nodes, far_bits(similarity, count)), "clumps")
+    each = found.select("own", F.explode("members").alias("node"))
+    return _exact_links(each.join(sets_of(each.select("node").distinct()), "node"), similarity)
+
+
+def _clumps(units: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """(own, members): clumps of the nodes of each unit, equal ones once."""
     # a node's sketch meets its list of units, at most one for each table, in one row; lists are dealt out in pieces,
     # so that nodes with many units do not make one task's work
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = units.groupBy("node").agg(F.collect_list("unit").alias("units"))
     pieces = F.transform(F.sequence(F.lit(0), F.size("units") - 1, F.lit(PIECE)), lambda i: F.slice("units", i + 1, F.lit(PIECE)))
-    usual = lists.join(nodes.select("node", "shingles"), "node").select("node", "shingles", F.posexplode(pieces).alias("piece", "some"))
-    usual = usual.repartition(n, "node", "piece").select(F.explode("some").alias("unit"), "node", "shingles")
+    usual = lists.join(nodes.select("node", "part", "shingles"), "node").select("node", "part", "shingles", F.posexplode(pieces).alias("piece", "some"))
+    usual = usual.repartition(n, "node", "piece").select(F.explode("some").alias("unit"), "node", "part", "shingles")
     usual = usual.repartition(n, "unit").sortWithinPartitions("unit", "node")
-    most = far_bits(similarity, count)
 
     def run(batches):
-        now, members, sketches = None, [], []
+        now, members, parts, sketches = None, [], [], []
 
         def solve():
             if len(members) < 2:
                 return []
-            return sketched_links(np.array(members), np.array(sketches, np.int64).view(np.uint64).reshape(len(members), -1), most)
+            nodes = np.array(members, np.int64)
+            return [nodes[c] for c in clumps(np.array(parts, np.int64), np.array(sketches, np.int64).view(np.uint64).reshape(len(nodes), -1), most)]
+
+        def batch_of(out):
+            own = np.array([xxh64_intdigest(x.tobytes()) for x in out], np.uint64).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]).astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int64), *out])))
+            return pa.RecordBatch.from_arrays([pa.array(own), lists], names=["own", "members"])
 
         for batch in batches:
             out = []
-            values = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
-            for k, (b, node) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if b != now:
+            values = batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1)
+            for k, (u, node, part) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if u != now:
                     out += solve()
-                    now, members, sketches = b, [], []
+                    now, members, parts, sketches = u, [], [], []
                 members.append(node)
+                parts.append(part)
                 sketches.append(values[k].copy())
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
-        out = solve()
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
+            yield batch_of(out)
+        yield batch_of(solve())
+
+    return usual.mapInArrow(run, "own long, members array<long>").dropDuplicates(["own"])
+
+
+def _exact_links(each: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the nodes of a clump (own, node, set) whose sets are similar."""
+    n = int(each.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = each.select("own", "node", "set").repartition(n, "own").sortWithinPartitions("own", "node")
+
+    def run(batches):
+        now, members, sets = None, [], []
+
+        def solve():
+            return [(members[a], members[b]) for a, b in similar_pairs(sets, similarity)] if len(members) > 1 else []
 
-    return usual.mapInArrow(run, "a long, b long").distinct()
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(2)], names=["a", "b"])
+
+        for batch in batches:
+            out = []
+            values, offsets = batch.column(2).values.to_numpy(), batch.column(2).offsets.to_numpy()
+            for k, (own, node) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if own != now:
+                    out += solve()
+                    now, members, sets = own, [], []
+                members.append(node)
+                sets.append(values[offsets[k] : offsets[k + 1]].copy())
+            yield batch_of(out)
+        yield batch_of(solve())
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def _through_points(members: DataFrame, tables: list[int]) -> DataFrame:
@@ -411,17 +513,23 @@ def _through_points(members: DataFrame, tables: list[int]) -> DataFrame:
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, count: int = 12) -> DataFrame:
     """docs with one row of each group of near copies: that of the smallest doc_id, and of several such that of the
-    smallest text hash. Near copies have shingle sets of the given Jaccard similarity, as their fingerprints tell.
+    smallest text hash. Near copies have shingle sets of the given Jaccard similarity.
 
     count fingerprints of each text's words, each with its own covering tables, bring near copies together: one
-    of them alone misses those that differ by chance in more than RADIUS of its bits. Only fingerprints and ids
-    take part in the choice; the texts are shuffled once, to be kept or dropped.
+    of them alone misses those that differ by chance in more than RADIUS of its bits. Only texts that have a likely
+    near copy by their fingerprints are read again for their shingle sets.
     """
     mark = F.xxhash64(F.col(text))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), mark.alias("mark"), F.col(text).alias("text"))
     rows = materialize(_sketches(rows, shingle, count).withColumn("node", F.xxhash64("words", "shingles")), "sketches")
     nodes = materialize(rows.select("node", "words", "shingles").dropDuplicates(["node"]), "nodes")
-    label = similar_components(nodes, similarity, count)
+    texts = rows.groupBy("node").agg(F.min("mark").alias("mark"))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        own = texts.join(wanted, "node").select("node", F.col("mark").alias("__mark"))
+        return _sets(docs.select(F.col(text).alias("text"), mark.alias("__mark")).join(own, "__mark").select("node", "text"), shingle).dropDuplicates(["node"])
+
+    label = similar_components(nodes, sets_of, similarity, count)
     rows = rows.groupBy("node", "doc_id", "mark").agg(F.count(F.lit(1)).alias("copies"))
     rows = rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")

@@ -531,6 +531,39 @@ def test_equal_words_in_another_order_stay(spark, bucket, monkeypatch):
     assert kept == list(range(15))
 
 
+def test_near_copies_by_exact_shingles(spark):
+    """Pairs just above and just below the similarity, which an estimate cannot tell apart."""
+    texts, near = [], []
+    for k in range(30):
+        w = words(205, 500 + k, 10**6).split()
+        # one changed word inside takes out five shingles on each side: 201 - 5 n of 201 + 5 n are common
+        for n in (4, 5):
+            texts += [" ".join(w), " ".join("new" + str(k * 10 + n) + str(i) if i % 40 == 9 and i // 40 < n else x for i, x in enumerate(w))]
+            w = words(205, 900 + k, 10**6).split()
+            near.append((201 - 5 * n) / (201 + 5 * n) >= 0.8)
+    assert set(near) == {True, False}
+    kept = {r.doc_id for r in simhash.one_of_each(table(spark, texts)).collect()}
+    assert [2 * k + 1 not in kept for k in range(len(near))] == near
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_similar_pairs(seed):
+    r = random.Random(seed)
+    base = [r.sample(range(1000), 20) for _ in range(3)]
+    sets = [np.array(sorted(set(x for x in r.choice(base) if r.random() < 0.93) | {r.randrange(1000)}), np.int64) for _ in range(40)] + [np.empty(0, np.int64)] * 2
+
+    def labels(pairs):
+        label = list(range(len(sets)))
+        for a, b in pairs:
+            label = [label[a] if x == label[b] else x for x in label]
+        return [label.index(x) for x in label]
+
+    likeness = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    plain = [set(x.tolist()) for x in sets]
+    want = [(a, b) for a in range(len(sets)) for b in range(a) if likeness(plain[a], plain[b])]
+    assert labels(simhash.similar_pairs(sets, 0.8)) == labels(want)
+
+
 def test_components(spark):
     r = random.Random(6)
     links = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)] + [(7, 7), (None, 3)]
