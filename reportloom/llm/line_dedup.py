@@ -1,10 +1,10 @@
 """Line dedup by content-defined chunks of lines.
 
 A rolling hash over the hashes of ROLL lines decides after which line a chunk ends, so an insertion moves only
-the boundaries around it. Chunks of two lines or more, with a word on at least two of them, are counted over
-the whole corpus by a 128-bit hash; all occurrences but the first (by doc_id, then line) are removed, once the
-bytes of all chunks with that hash have been compared and found equal. Chunks whose hash stands for different
-bytes stay.
+the boundaries around it. Chunks of two lines or more, with a word on any of them, are counted over the whole
+corpus by a 128-bit hash; all occurrences but the first (by doc_id, then line) are removed, once the bytes of all
+chunks with that hash have been compared and found equal. Chunks whose hash stands for different bytes stay. A
+blank line is a line, so a paragraph and the blank line beside it are a chunk.
 
 The count has partial sums, so a chunk in a third of all documents is one row from each task. Only hashes
 travel for it. The bytes compared are the least and the greatest text of a hash, again with partial results.
@@ -49,8 +49,8 @@ def chunks(text: bytes) -> list[tuple[int, int, bytes]]:
 
 
 def eligible(chunk: bytes) -> bool:
-    """At least two lines with a word."""
-    return sum(1 for line in chunk.split(b"\n") if line.strip(b" \t\n\v\f\r")) >= 2
+    """Has it a word?"""
+    return bool(chunk.strip(b" \t\n\v\f\r"))
 
 
 def _chunk_rows(docs: DataFrame) -> DataFrame:

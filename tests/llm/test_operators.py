@@ -111,6 +111,20 @@ def test_line_dedup(spark):
     assert len({c for *_, c in shifted} & {c for *_, c in line_dedup.chunks(passage.encode())}) >= 2
 
 
+def test_line_dedup_of_paragraphs_between_blank_lines(spark):
+    paragraphs = [words(30, k, 10**6) for k in range(40)]
+    texts = ["\n\n".join([words(20, 1000 + k, 10**6), *paragraphs, words(20, 2000 + k, 10**6)]) for k in range(3)] + ["\n" * 40] * 2
+    seen, want = set(), []
+    for t in texts:
+        cut = [c for _, n, c in line_dedup.chunks(t.encode())]
+        want.append(b"\n".join(c for c in cut if not (b"\n" in c and c.split() and c in seen)).decode())
+        seen |= set(cut)
+    got = line_dedup.dedup(table(spark, texts)).orderBy("doc_id").collect()
+    assert [x.text for x in got] == want
+    assert all(sum(p in x.text for p in paragraphs) <= 4 for x in got[1:3])
+    assert [x.n_removed for x in got[3:]] == [0, 0]
+
+
 def test_line_dedup_of_repeated_rows(spark, mixed):
     got = line_dedup.dedup(mixed)
     assert got.count() == mixed.count()
