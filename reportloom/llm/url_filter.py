@@ -8,9 +8,10 @@ or the same first part of the path; one that was not labelled has the overall sh
 urls is left out of the trees: the threshold for block is the least score of a half or more from which at least
 PRECISION of that quarter are blocked ones, so that the trees leave a url alone when in doubt.
 
-What is learned from is bounded: MOST_LABELLED urls, taken evenly by a hash of the url, and the MOST_SHARES most
-frequent suffixes and first parts (others have the overall share). Everything else covers all rows; features,
-rules and trees are column expressions.
+What the trees learn from is bounded: MOST_LABELLED urls, taken evenly by a hash of the url. Everything else covers
+all rows; features, rules and trees are column expressions. The shares of all suffixes and first parts are tables,
+broadcast up to MOST_BROADCAST keys; beyond that they are joined by shuffling, but for the MOST_SHARES most frequent
+keys, which are kept in the plan, so that rows of a frequent key do not meet in one task.
 
 Edge cases: a null url, or one without `://`, has an empty host and path, fits no rule and is judged by the
 trees from features that are all zero. Repeated rows are judged alike. Without labelled urls of both kinds all
@@ -25,12 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reportloom.llm import boosting
-from reportloom.llm.runtime import cleared
+from reportloom.llm.runtime import cleared, materialize
 
 # verdict, rule
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 MOST_LABELLED = 50_000
 MOST_SHARES = 500
+MOST_BROADCAST = 500_000
 PRECISION = 0.9
 # Features of a url, the two shares included.
 COUNT = 18
@@ -100,28 +102,42 @@ def head_of(path: Column) -> Column:
 
 def judge(pages: DataFrame, url: str = "url", rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """pages with host, path, rule, verdict and block_score (of the trees) added."""
-    pages = cleared(pages, ["host", "path", "rule", "verdict", "block_score", "__found", "__f"], keep=[url])
+    pages = cleared(pages, ["host", "path", "rule", "verdict", "block_score", "__found", "__f", "__suffix", "__head"], keep=[url])
     rows = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     rows = rows.withColumn("__found", rule_of(F.col("host"), F.col("path"), rules))
     labelled = rows.filter("__found is not null").select(url, "host", "path", (F.col("__found.verdict") == "block").alias("blocked"))
     yes, no = labelled.agg(F.count_if("blocked"), F.count_if(~F.col("blocked"))).first()
-    shares = [_share(labelled, c, (yes + 1) / (yes + no + 2)) for c in (suffix_of(F.col("host")), head_of(F.col("path")))]
-    made = F.array(*features(F.col(url), F.col("host"), F.col("path"), shares))
+    overall = (yes + 1) / (yes + no + 2)
+    for name, key in (("__suffix", suffix_of(F.col("host"))), ("__head", head_of(F.col("path")))):
+        known = materialize(_shares(labelled, key, overall), "shares")
+        labelled, rows = (_with_share(x, name, key, url, known, overall) for x in (labelled, rows))
+    made = F.array(*features(F.col(url), F.col("host"), F.col("path"), [F.col("__suffix"), F.col("__head")]))
     model, least = _fit(labelled, url, made, yes + no)
     rows = rows.withColumn("__f", made)
     rows = rows.withColumn("block_score", boosting.as_column(model, [F.col("__f")[k] for k in range(COUNT)]))
     verdict = F.coalesce(F.col("__found.verdict"), F.when(F.col("block_score") >= least, "block").otherwise("allow"))
-    return rows.withColumns({"rule": F.col("__found.rule"), "verdict": verdict}).drop("__found", "__f")
-
-
-def _share(labelled: DataFrame, key: Column, overall: float) -> Column:
-    """The shrunk share of blocked urls with the same key."""
-    counts = labelled.groupBy(key.alias("key")).agg(F.count_if("blocked").alias("yes"), F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.col("n").desc(), "key").limit(MOST_SHARES).collect()
-    if not top:
-        return F.lit(overall)
-    known = F.create_map(*[F.lit(v) for r in top for v in (r.key, (r.yes + 10 * overall) / (r.n + 10))])
-    return F.coalesce(F.try_element_at(known, key), F.lit(overall))
+    return rows.withColumns({"rule": F.col("__found.rule"), "verdict": verdict}).drop("__found", "__f", "__suffix", "__head")
+
+
+def _shares(labelled: DataFrame, key: Column, overall: float) -> DataFrame:
+    """(__key, __n, __share): for every key the shrunk share of blocked urls among those labelled."""
+    counts = labelled.groupBy(key.alias("__key")).agg(F.count_if("blocked").alias("yes"), F.count(F.lit(1)).alias("__n"))
+    return counts.select("__key", "__n", ((F.col("yes") + 10 * overall) / (F.col("__n") + 10)).alias("__share"))
+
+
+def _with_share(rows: DataFrame, name: str, key: Column, url: str, known: DataFrame, overall: float) -> DataFrame:
+    """rows with the share of their key, the overall one where it was not labelled."""
+    table = known.select("__key", "__share")
+    rows = rows.withColumn("__key", key)
+    if known.count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(table), "__key", "left").withColumn(name, F.coalesce("__share", F.lit(overall))).drop("__key", "__share")
+    top = known.orderBy(F.col("__n").desc(), "__key").limit(MOST_SHARES).collect()
+    often = F.try_element_at(F.create_map(*[F.lit(v) for r in top for v in (r["__key"], r["__share"])]), F.col("__key"))
+    rows = rows.withColumn(name, often)
+    # rows that have their share are spread over keys that no table has
+    spread = F.concat(F.lit("\0/"), F.pmod(F.xxhash64(url), F.lit(4096)).cast("string"))
+    rows = rows.withColumn("__key", F.when(F.col(name).isNull(), F.col("__key")).otherwise(spread))
+    return rows.join(table, "__key", "left").withColumn(name, F.coalesce(name, "__share", F.lit(overall))).drop("__key", "__share")
 
 
 def _fit(labelled: DataFrame, url: str, made: Column, n: int) -> tuple[tuple[float, list], float]:

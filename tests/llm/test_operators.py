@@ -256,6 +256,16 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [url_filter.MOST_BROADCAST, 0])
+def test_all_suffixes_have_their_share(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(url_filter, "MOST_BROADCAST", broadcast)
+    rules = [("allow", "com/a/"), ("block", "com/a/x")]
+    urls = [f"http://d{k:04}.com/a/{'x' if k % 2 else 'y'}{n}" for k in range(800) for n in range(4)] + [f"http://d{k:04}.com/z/q1" for k in range(800)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.judge(pages, rules=rules).filter("rule is null").orderBy("page_id").collect()
+    assert [r.verdict for r in got] == [("allow", "block")[k % 2] for k in range(800)]
+
+
 def test_trees_as_columns(spark):
     rng = np.random.default_rng(0)
     x = rng.integers(0, 10, (300, 3))
