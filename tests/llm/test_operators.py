@@ -456,6 +456,16 @@ def test_candidates_are_added(spark):
     assert not any(x.spans for x in clean)
 
 
+def test_candidates_of_kinds_without_failures_are_added(spark):
+    r = random.Random(4)
+    texts = [f"mail user{k}@host{k}.org or call +1 {r.randrange(200, 999)} 555-{r.randrange(1000, 9999)} now" for k in range(100)]
+    texts += ["mail jane.doe (at) example (dot) org today", "call me at (415) 555-0101 now", "none of this"]
+    got = pii.find(table(spark, texts)).orderBy("doc_id").collect()
+    spans = [[texts[k][s:e] for s, _, e in got[k].spans] for k in range(100, 103)]
+    assert spans == [["jane.doe (at) example (dot) org"], ["(415) 555-0101"], []]
+    assert all(len(x.spans) == 2 for x in got[:100])
+
+
 def test_redaction(spark):
     rows = pii.find(table(spark, ["mail a@b.cd or +1 415 555 2671.", "none", None]))
     got = [r[0] for r in rows.orderBy("doc_id").select(pii.redact(F.coalesce("text", F.lit("")), F.col("spans"))).collect()]
