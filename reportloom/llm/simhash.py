@@ -36,6 +36,9 @@ BUCKET = 2048
 SEED = 42
 # Buckets of a node that are dealt out together.
 PIECE = 8
+# Texts, and shingles of all of them, whose sets are compared in one task's memory.
+MOST_NODES = 4096
+MOST_SHINGLES = 1 << 21
 _SALTS = np.random.default_rng(13).integers(0, 1 << 63, 32).astype(np.uint64)
 
 
@@ -232,14 +235,14 @@ def far_bits(similarity: float, count: int, deviations: float = 7) -> int:
     return int(BITS * count * share + deviations * np.sqrt(BITS * count * share * (1 - share)))
 
 
-def clumps(parts: np.ndarray, sketches: np.ndarray, most: int) -> list[np.ndarray]:
-    """Components of the pairs of different parts whose sketches differ in at most `most` bits, as places."""
+def clumps(parts: np.ndarray, seen: np.ndarray, sketches: np.ndarray, most: int) -> list[np.ndarray]:
+    """Components of the pairs of different parts and different seen whose sketches differ in at most `most` bits, as places."""
     n = len(parts)
     label = np.arange(n)
     near = np.zeros((n, n), bool)
     for k in range(0, n, 64):
         near[k : k + 64] = np.bitwise_count(sketches[k : k + 64, None, :] ^ sketches[None, :, :]).sum(axis=2, dtype=np.int64) <= most
-        near[k : k + 64] &= parts[k : k + 64, None] != parts[None, :]
+        near[k : k + 64] &= (parts[k : k + 64, None] != parts[None, :]) & (seen[k : k + 64, None] != seen[None, :])
     np.fill_diagonal(near, True)
     while True:
         low = np.where(near, label[None, :], n).min(axis=1)
@@ -255,11 +258,12 @@ def similar_pairs(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
     """A spanning forest of the pairs (places) of sets of different numbers whose Jaccard similarity is as large."""
     n = len(sets)
     sizes = np.array([len(x) for x in sets], np.int64)
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
     bounds = np.concatenate(([0], np.cumsum(sizes)))
-    owners = np.repeat(np.arange(n), sizes)[np.argsort(ids, kind="stable")]
-    held = np.bincount(ids) if len(ids) else np.empty(0, np.int64)
-    starts = np.cumsum(held) - held
+    all_owners = np.repeat(np.arange(n), sizes)[np.argsort(ids, kind="stable")]
+    held = np.bincount(ids, minlength=len(values))
+    by_id = np.repeat(np.arange(len(values)), held)
+    owners, starts, rest = all_owners, np.cumsum(held) - held, n
     fresh, out = np.ones(n, bool), []
     for root in range(n):
         if not fresh[root]:
@@ -267,6 +271,11 @@ def similar_pairs(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
         fresh[root] = False
         todo = [root]
         while todo and fresh.any():
+            if 2 * (left := int(fresh.sum())) < rest:
+                # only sets that have no link yet are looked for: the others leave the lists once they are the most
+                live = fresh[all_owners]
+                owners, held = all_owners[live], np.bincount(by_id[live], minlength=len(values))
+                starts, rest = np.cumsum(held) - held, left
             k = todo.pop()
             own = ids[bounds[k] : bounds[k + 1]]
             common = np.bincount(owners[ranges(starts[own], held[own])], minlength=n)
@@ -279,18 +288,21 @@ def similar_pairs(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
 
 
 def _sketches(docs: DataFrame, shingle: int, count: int) -> DataFrame:
-    """id, mark, words array<long>, shingles array<long>"""
+    """id, mark, words array<long>, shingles array<long>, size (an upper bound of the number of shingles)"""
 
     def run(batches):
         for batch in batches:
-            both = [sketch(t, shingle, count) for t in as_bytes(batch.column(2))]
+            both, sizes = [], []
+            for t in as_bytes(batch.column(2)):
+                both.append(sketch(t, shingle, count))
+                sizes.append(len(t.split()) if t else 0)
             lists = []
             for k in range(2):
                 values = np.concatenate([b[k] for b in both]).view(np.int64) if both else np.empty(0, np.int64)
                 lists.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, count, dtype=np.int32)), pa.array(values)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "mark", "words", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists, pa.array(sizes, pa.int64())], names=["doc_id", "mark", "words", "shingles", "size"])
 
-    return docs.mapInArrow(run, "doc_id long, mark long, words array<long>, shingles array<long>")
+    return docs.mapInArrow(run, "doc_id long, mark long, words array<long>, shingles array<long>, size long")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -306,23 +318,23 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _shared(nodes: DataFrame, radius: int, bucket: int, first: int, last: int) -> DataFrame:
-    """(own, bucket, v, members): buckets of fingerprints first to last - 1 with nodes of several components (part),
-    a row for each, equal ones once. v >= 0: parts of a bucket over the limit."""
+    """(own, bucket, v, members): buckets of fingerprints first to last - 1 with nodes that may have a link to find (of
+    several part and several seen), a row for each, equal ones once. v >= 0: parts of a bucket over the limit."""
     tables = masks(radius)
     keys = F.transform(
         F.slice("words", first + 1, last - first),
         lambda fp, j: F.array(*[F.struct((j * len(tables) + v).alias("v"), fp.bitwiseAND(F.lit(signed(m))).alias("key")) for v, m in enumerate(tables)]),
     )
-    dealt = nodes.select("node", "part", F.explode(F.flatten(keys)).alias("x")).select("x.v", "x.key", "node", "part")
+    dealt = nodes.select("node", "part", "seen", F.explode(F.flatten(keys)).alias("x")).select("x.v", "x.key", "node", "part", "seen")
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "v", "key").sortWithinPartitions("v", "key", "node")
 
     def run(batches):
         none = np.empty(0, np.int64)
-        held_v, held_key, held, parts, over = -1, 0, none, none, False
+        held_v, held_key, held, parts, seen, over = -1, 0, none, none, none, False
 
-        def several(parts):
-            return len(parts) > 1 and bool((parts != parts[0]).any())
+        def several():
+            return len(held) > 1 and all(bool((x != x[0]).any()) for x in (parts, seen))
 
         def row(node):
             own = xxh64_intdigest(node.tobytes())
@@ -338,7 +350,7 @@ def _shared(nodes: DataFrame, radius: int, bucket: int, first: int, last: int) -
 
         for batch in batches:
             out = []
-            v, key, node, part = (c.to_numpy() for c in batch.columns)
+            v, key, node, part, done = (c.to_numpy() for c in batch.columns)
             cuts = np.flatnonzero((v[1:] != v[:-1]) | (key[1:] != key[:-1])) + 1
             bounds = np.concatenate(([0], cuts, [len(v)])) if len(v) else np.empty(0, np.int64)
             # buckets of one node inside the batch are passed over at once
@@ -347,42 +359,46 @@ def _shared(nodes: DataFrame, radius: int, bucket: int, first: int, last: int) -
             for k in wanted:
                 s, e = int(bounds[k]), int(bounds[k + 1])
                 if held_v == v[s] and held_key == key[s]:
-                    held, parts = np.concatenate([held, node[s:e]]), np.concatenate([parts, part[s:e]])
+                    held, parts, seen = (np.concatenate([x, y[s:e]]) for x, y in ((held, node), (parts, part), (seen, done)))
                 else:
-                    if over and len(held) or several(parts):
+                    if over and len(held) or several():
                         out.append(row(held))
-                    held_v, held_key, held, parts, over = v[s], key[s], node[s:e], part[s:e], False
+                    held_v, held_key, held, parts, seen, over = v[s], key[s], node[s:e], part[s:e], done[s:e], False
                 if over or len(held) > bucket:
                     over = True
                     out.append(row(held))
-                    held, parts = none, none
+                    held, parts, seen = none, none, none
             yield batch_of(out)
-        yield batch_of([row(held)] if over and len(held) or several(parts) else [])
+        yield batch_of([row(held)] if over and len(held) or several() else [])
 
     return dealt.mapInArrow(run, "own long, bucket long, v int, members array<long>").dropDuplicates(["own"])
 
 
 def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, count: int, early: int = 3) -> DataFrame:
-    """(node, component) of nodes (node, words, shingles) that have links: the tables of the first `early` fingerprints,
-    then those of the others, where a bucket whose nodes are one component by then has nothing left to link.
-    sets_of(nodes) gives (node, set), their shingle sets."""
-    part = nodes.withColumn("part", F.col("node"))
-    found = materialize(similar_links(part, sets_of, similarity, count, 0, min(early, count)), "similar")
+    """(node, component) of nodes (node, size, words, shingles) that have links: the tables of the first `early`
+    fingerprints, then those of the others, where nodes that are one component by then, or were compared with each
+    other by their sets, have nothing left to find. sets_of(nodes) gives (node, set), their shingle sets."""
+    start = nodes.withColumns({"part": F.col("node"), "seen": F.col("node")})
+    found, seen = similar_links(start, sets_of, similarity, count, 0, min(early, count))
+    found = materialize(found, "similar")
     label = connected_components(found)
     if early >= count:
         return label
-    part = materialize(nodes.join(label, "node", "left").select(*nodes.columns, F.coalesce("component", "node").alias("part")), "parts")
-    return connected_components(found.unionByName(similar_links(part, sets_of, similarity, count, early, count)))
+    rows = nodes.join(label, "node", "left").join(seen, "node", "left")
+    rows = materialize(rows.select(*nodes.columns, F.coalesce("component", "node").alias("part"), F.coalesce("seen", "node").alias("seen")), "parts")
+    more, _ = similar_links(rows, sets_of, similarity, count, early, count)
+    return connected_components(found.unionByName(more))
 
 
-def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, count: int, first: int, last: int, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) between nodes (node, words, shingles, part) that share a bucket of fingerprints first to last - 1
-    and have similar shingles.
+def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, count: int, first: int, last: int, radius: int = RADIUS, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between nodes (node, size, words, shingles, part, seen) that share a bucket of fingerprints first to
+    last - 1 and have similar shingles; and (node, seen), nodes of which all with the same seen have been compared.
 
     A bucket's members are compared by all bits of their shingle fingerprints, whose differing share is the angle
-    between the sets; those that may be similar by it are compared by the sets themselves. A bucket with more members than the limit goes through the same comparison in units: first in
-    chunks that have some members in common, which joins large groups, then in pairs of blocks. Every two members
-    that are not one component by then meet in a pair of blocks.
+    between the sets; those that may be similar by it are compared by the sets themselves. A bucket with more
+    members than the limit goes through the same comparison in units: first in chunks that have some members in
+    common, which joins large groups, then in pairs of blocks. Every two members that are not one component by then
+    meet in a pair of blocks.
     """
     shared = materialize(_shared(nodes, radius, bucket, first, last), "shared")
     units = shared.filter("v < 0").select(F.col("bucket").alias("unit"), F.explode("members").alias("node"))
@@ -390,12 +406,13 @@ def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], s
     if large.isEmpty():
         return _compared(units, nodes, sets_of, similarity, count)
     large = materialize(_different(large), "large")
-    found = materialize(_compared(units.unionByName(_chunks(large, bucket)), nodes, sets_of, similarity, count), "found")
+    found, seen = _compared(units.unionByName(_chunks(large, bucket)), nodes, sets_of, similarity, count)
+    found = materialize(found, "found")
     known = found.unionByName(nodes.filter("node <> part").select(F.col("part").alias("a"), F.col("node").alias("b")))
     label = connected_components(known)
     part = materialize(nodes.drop("part").join(label, "node", "left").withColumn("part", F.coalesce("component", "node")).select(*nodes.columns), "parts")
     pairs = materialize(_block_pairs(large, part, bucket), "pairs")
-    return found.unionByName(_compared(pairs, part, sets_of, similarity, count))
+    return found.unionByName(_compared(pairs, part, sets_of, similarity, count)[0]), seen
 
 
 def _different(large: DataFrame) -> DataFrame:
@@ -426,11 +443,25 @@ def _block_pairs(large: DataFrame, nodes: DataFrame, bucket: int) -> DataFrame:
     return rows.join(pairs, ["bucket", "block"]).select("unit", "node")
 
 
-def _compared(units: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, count: int) -> DataFrame:
-    """Links (a, b) between the nodes of a unit (unit, node) that have similar shingle sets."""
+def _compared(units: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, count: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between the nodes of a unit (unit, node) that have similar shingle sets, and (node, seen).
+
+    Clumps of all units that have nodes in common are one group, so that a node's set is read once, however many
+    tables it was found in, and all pairs of a group are compared. A group beyond MOST_NODES or MOST_SHINGLES is
+    compared clump by clump instead.
+    """
     found = materialize(_clumps(units, nodes, far_bits(similarity, count)), "clumps")
-    each = found.select("own", F.explode("members").alias("node"))
-    return _exact_links(each.join(sets_of(each.select("node").distinct()), "node"), similarity)
+    stars = found.select(F.get("members", F.lit(0)).alias("a"), F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("b"))
+    group = materialize(connected_components(stars).join(nodes.select("node", "size"), "node"), "groups")
+    large = group.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    large = materialize(large.filter((F.col("n") > MOST_NODES) | (F.col("s") > MOST_SHINGLES)).select("component"), "large")
+    each = group.join(large, "component", "left_anti").select(F.col("component").alias("own"), "node")
+    seen = each.select("node", F.col("own").alias("seen"))
+    if not large.isEmpty():
+        inside = group.join(large, "component", "left_semi").select(F.col("node").alias("__first"))
+        rest = found.join(inside, F.get("members", F.lit(0)) == F.col("__first"), "left_semi")
+        each = each.unionByName(rest.select("own", F.explode("members").alias("node")))
+    return _exact_links(each.join(sets_of(each.select("node").distinct()), "node"), similarity), seen
 
 
 def _clumps(units: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
@@ -440,18 +471,18 @@ def _clumps(units: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = units.groupBy("node").agg(F.collect_list("unit").alias("units"))
     pieces = F.transform(F.sequence(F.lit(0), F.size("units") - 1, F.lit(PIECE)), lambda i: F.slice("units", i + 1, F.lit(PIECE)))
-    usual = lists.join(nodes.select("node", "part", "shingles"), "node").select("node", "part", "shingles", F.posexplode(pieces).alias("piece", "some"))
-    usual = usual.repartition(n, "node", "piece").select(F.explode("some").alias("unit"), "node", "part", "shingles")
+    usual = lists.join(nodes.select("node", "part", "seen", "shingles"), "node").select("node", "part", "seen", "shingles", F.posexplode(pieces).alias("piece", "some"))
+    usual = usual.repartition(n, "node", "piece").select(F.explode("some").alias("unit"), "node", "part", "seen", "shingles")
     usual = usual.repartition(n, "unit").sortWithinPartitions("unit", "node")
 
     def run(batches):
-        now, members, parts, sketches = None, [], [], []
+        now, members, parts, seen, sketches = None, [], [], [], []
 
         def solve():
             if len(members) < 2:
                 return []
             nodes = np.array(members, np.int64)
-            return [nodes[c] for c in clumps(np.array(parts, np.int64), np.array(sketches, np.int64).view(np.uint64).reshape(len(nodes), -1), most)]
+            return [nodes[c] for c in clumps(np.array(parts, np.int64), np.array(seen, np.int64), np.array(sketches, np.int64).view(np.uint64).reshape(len(nodes), -1), most)]
 
         def batch_of(out):
             own = np.array([xxh64_intdigest(x.tobytes()) for x in out], np.uint64).view(np.int64)
@@ -460,13 +491,14 @@ def _clumps(units: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
 
         for batch in batches:
             out = []
-            values = batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1)
-            for k, (u, node, part) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+            values = batch.column(4).flatten().to_numpy().reshape(batch.num_rows, -1)
+            for k, (u, node, part, done) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
                 if u != now:
                     out += solve()
-                    now, members, parts, sketches = u, [], [], []
+                    now, members, parts, seen, sketches = u, [], [], [], []
                 members.append(node)
                 parts.append(part)
+                seen.append(done)
                 sketches.append(values[k].copy())
             yield batch_of(out)
         yield batch_of(solve())
@@ -522,7 +554,7 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     mark = F.xxhash64(F.col(text))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), mark.alias("mark"), F.col(text).alias("text"))
     rows = materialize(_sketches(rows, shingle, count).withColumn("node", F.xxhash64("words", "shingles")), "sketches")
-    nodes = materialize(rows.select("node", "words", "shingles").dropDuplicates(["node"]), "nodes")
+    nodes = materialize(rows.select("node", "size", "words", "shingles").dropDuplicates(["node"]), "nodes")
     texts = rows.groupBy("node").agg(F.min("mark").alias("mark"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
