@@ -1,7 +1,7 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the hashes of ROLL lines decides after which line a chunk ends, so an insertion moves only
-the boundaries around it. Chunks of two lines or more, with a word on any of them, are counted over the whole
+A rolling hash over the hashes of ROLL lines (60 bits of md5 each) decides after which line a chunk ends, so an
+insertion moves only the boundaries around it. Chunks of two lines or more, with a word on any of them, are counted over the whole
 corpus by a 128-bit hash; all occurrences but the first (by doc_id, then line) are removed, once the bytes of all
 chunks with that hash have been compared and found equal. Chunks whose hash stands for different bytes stay. A
 blank line is a line, so a paragraph and the blank line beside it are a chunk.
@@ -16,11 +16,13 @@ An empty table gives an empty result. Input columns with the names of added ones
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest, xxh64_intdigest
+from xxhash import xxh3_128_digest
 
 from reportloom.llm.runtime import as_bytes, cleared, materialize
 
@@ -28,8 +30,10 @@ ROLL = 2
 # A boundary falls on one in DIVISOR rolling hashes; a chunk has LEAST lines at least, but for a text's last.
 DIVISOR = 2
 LEAST = 2
-_FACTOR = 0x9E3779B97F4A7C15
-_ALL = (1 << 64) - 1
+# Repeated chunks, counted first, that are sent to every task; more are joined by shuffling.
+MOST_BROADCAST = 100_000
+_FACTOR = 1_000_003
+_PRIME = (1 << 31) - 1
 
 
 def chunks(text: bytes) -> list[tuple[int, int, bytes]]:
@@ -37,11 +41,10 @@ def chunks(text: bytes) -> list[tuple[int, int, bytes]]:
     lines = text.split(b"\n")
     out, start, rolled = [], 0, []
     for i, line in enumerate(lines):
-        rolled = [*rolled[1 - ROLL :], xxh64_intdigest(line)] if ROLL > 1 else [xxh64_intdigest(line)]
+        rolled = [*rolled[len(rolled) + 1 - ROLL :], int.from_bytes(md5(line).digest()[:8]) >> 4]
         mixed = 0
         for h in rolled:
-            mixed = (mixed * _FACTOR + h) & _ALL
-        mixed ^= mixed >> 31
+            mixed = (mixed * _FACTOR + h) % _PRIME
         if i + 1 - start >= LEAST and mixed % DIVISOR == 0 or i + 1 == len(lines):
             out.append((start, i + 1 - start, b"\n".join(lines[start : i + 1])))
             start = i + 1
@@ -82,7 +85,10 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     found = materialize(_chunk_rows(docs.select(F.col(doc_id).cast("long").alias("__id"), mark.alias("__mark"), text)), "chunks")
     place = F.struct("__id", "__mark", "start")
     often = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
-    often = often.filter("n > 1 and first < last").select("h1", "h2", "first")
+    # written before it is joined: its size is known, and the places of one very common chunk can be split over tasks
+    often = materialize(often.filter("n > 1 and first < last").select("h1", "h2", "first"), "often")
+    if often.count() <= MOST_BROADCAST:
+        often = F.broadcast(often)
     again = materialize(found.join(often, ["h1", "h2"]).select("__id", "__mark", "start", "lines", "h1", "h2", (place == F.col("first")).alias("stays")).distinct(), "again")
 
     def listed(rows: DataFrame) -> DataFrame:
