@@ -3,9 +3,13 @@ control characters 28-31 make it, so that results do not depend on the JDK's def
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Characters in a piece of a long text.
+BLOCK = 1024
 WS = r"[\s\x1c-\x1f]"
 UNICODE = "(?U)"
 
@@ -32,13 +36,16 @@ REFANG_LAYOUT = [
     (r"\[\s*:\s*\]|\(\s*:\s*\)", ":"),
     (r"\[\s*at\s*\]|\(\s*at\s*\)", "@"),
 ]
+# What is cut off both ends of a match, and marks of placeholders.
 PUNCTUATION = ".,;:!?)>]}'\""
 PLACEHOLDERS = ["*", "[redacted", "redacted", "[base64", "base64-encoded", "[computer", "[username"]
 # Words that carry no meaning for retrieval.
-STOPWORDS = (
-    "a an and are as at be been by can for from has have in into is it may of on or such that the their these "
-    "this to use used using via with"
-).split()
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "been", "by", "can", "for", "from",
+    "has", "have", "in", "into", "is", "it", "may", "of", "on", "or", "such", "that",
+    "the", "their", "these", "this", "to", "use", "used", "using", "via", "with",
+]
+# Fixed value: what a token looks like.
 TOKEN = r"[a-zA-Z][a-zA-Z0-9_+-]*|\d+(?:\.\d+)?"
 
 
@@ -88,10 +95,37 @@ def clean(c: Column) -> Column:
     return F.trim(strip(c), F.lit(PUNCTUATION))
 
 
-def context(text: Column, start: Column, end: Column, size: int = 180) -> Column:
-    """The characters around places start to end (from 0), white space collapsed."""
-    left = F.greatest(start - size, F.lit(0))
-    return collapse(F.substring(text, left + 1, end + size - left))
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of value, which is worked out once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def scan(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Array of each entry combined with all before it. combine is associative; n entries take log2(n) passes."""
+
+    def passes(v: Column) -> Column:
+        n = F.size(v)
+        shifts = F.slice(F.array(*[F.lit(1 << k) for k in range(31)]), F.lit(1), F.when(n > 1, F.ceil(F.log2(n)).cast("int")).otherwise(0))
+        return F.aggregate(shifts, v, lambda a, d: F.transform(a, lambda x, i: F.when(i >= d, combine(F.get(a, i - d), x)).otherwise(x)))
+
+    return bound(values, passes)
+
+
+def blocks(c: Column) -> Column:
+    """The text in pieces of BLOCK characters, from which cut() takes places without counting from the start."""
+    return F.regexp_extract_all(text_of(c), F.lit(f"(?s).{{1,{BLOCK}}}"), 0)
+
+
+def cut(pieces: Column, start: Column, end: Column) -> Column:
+    """The characters from place start (from 0) to end of a text in blocks()."""
+    first = F.floor(start / BLOCK).cast("int")
+    some = F.slice(pieces, first + 1, F.greatest(F.floor((end - 1) / BLOCK).cast("int") - first + 1, F.lit(0)))
+    return F.substring(F.array_join(some, ""), start - first * BLOCK + 1, end - start)
+
+
+def context(pieces: Column, start: Column, end: Column, size: int = 180) -> Column:
+    """The characters around places start to end (from 0) of a text in blocks(), white space collapsed."""
+    return collapse(cut(pieces, F.greatest(start - size, F.lit(0)), end + size))
 
 
 def has_placeholder(c: Column) -> Column:
@@ -102,10 +136,9 @@ def has_placeholder(c: Column) -> Column:
     return found
 
 
-def is_masked(text: Column, start: Column, end: Column) -> Column:
-    """A star or redaction mark within 8 characters."""
-    left = F.greatest(start - 8, F.lit(0))
-    near = F.lower(F.substring(text, left + 1, end + 8 - left))
+def is_masked(pieces: Column, start: Column, end: Column) -> Column:
+    """A star or redaction mark within 8 characters of places start to end of a text in blocks()."""
+    near = F.lower(cut(pieces, F.greatest(start - 8, F.lit(0)), end + 8))
     return near.contains("*") | near.contains("[redacted")
 
 
@@ -191,22 +224,21 @@ def truthy(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array(struct(start, end, value)) of all matches, places from 0, in order.
+def marked(text: Column, pattern: str) -> Column:
+    """What lies between the matches of pattern and, at odd places, the matches: one pass of the regex engine, so
+    look-around sees the whole text. U+0001 serves as the mark and must not be in text."""
+    return F.split(F.regexp_replace(text, f"({pattern})", "\u0001$1\u0001"), "\u0001", -1)
 
-    Matches are marked in one pass of the regex engine, so look-around sees the whole text; places come from the
-    lengths of what lies between marks. U+0001 serves as the mark and must not be in text.
-    """
-    parts = F.split(F.regexp_replace(text, f"({pattern})", "\u0001$1\u0001"), "\u0001", -1)
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    state = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), none.alias("found"))
 
-    def step(a: Column, part: Column) -> Column:
-        end = a["at"] + F.length(part)
-        one = F.array(F.struct(a["at"].alias("start"), end.alias("end"), part.alias("value")))
-        return F.struct(end.alias("at"), (~a["inside"]).alias("inside"), F.when(a["inside"], F.concat(a["found"], one)).otherwise(a["found"]).alias("found"))
+def matches(text: Column, pattern: str) -> Column:
+    """array(struct(start, end, value)) of all matches, places from 0, in order. No U+0001 may be in text."""
+
+    def places(parts: Column) -> Column:
+        at = lambda ends: lambda i: F.struct(F.get(ends, 2 * i - 2).alias("start"), F.get(ends, 2 * i - 1).alias("end"), F.get(parts, 2 * i - 1).alias("value"))
+        found = bound(scan(F.transform(parts, F.length), lambda a, b: a + b), lambda ends: F.transform(F.sequence(F.lit(1), F.floor(F.size(parts) / 2).cast("int")), at(ends)))
+        return F.when(F.size(parts) > 1, found).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
-    return F.aggregate(parts, state, step, lambda a: a["found"])
+    return bound(marked(text, pattern), places)
 
 
 def unmarked(c: Column) -> Column:

@@ -28,11 +28,11 @@ SIGNS = {
     "domain": r"[a-zA-Z0-9]\.[A-Za-z]{2}",
 }
 # What is never reported by the strict pass.
-BENIGN_DOMAINS = (
-    "adobe.com ahnlab.com apple.com blackberry.com cafe24.com cert.pl cisa.gov cisecurity.org github.com "
-    "githubusercontent.com gmail.com google.com microsoft.com mozilla.org nist.gov proofpoint.com twitter.com ukr.net "
-    "w3.org wallup.net welivesecurity.com youtube.com"
-).split()
+BENIGN_DOMAINS = [
+    "adobe.com", "ahnlab.com", "apple.com", "blackberry.com", "cafe24.com", "cert.pl", "cisa.gov", "cisecurity.org",
+    "github.com", "githubusercontent.com", "gmail.com", "google.com", "microsoft.com", "mozilla.org", "nist.gov", "proofpoint.com",
+    "twitter.com", "ukr.net", "w3.org", "wallup.net", "welivesecurity.com", "youtube.com",
+]
 FILE_SUFFIXES = ["properties", "zip", "phone"]
 FILE_DOMAINS = ["sam.sa", "se.sa", "sy.sa", "win.phone"]
 ARTEFACT_DOMAINS = ["embassy.us", "ioamazon.com"]
@@ -70,17 +70,20 @@ def found(reports: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     for phase, (kind, pattern) in enumerate(PATTERNS):
         if kinds is None or kind in kinds:
             lists.append(F.when(F.col("body").rlike(SIGNS[kind]), _tagged(text.matches(F.col("body"), pattern), phase, kind)).otherwise(none))
-    rows = body.select("report_id", F.concat(*lists).alias("m"), "body")
-    around = F.transform(
-        "m",
-        lambda m: F.struct(
-            *[m[n].alias(n) for n in ("phase", "kind", "start")],
-            m["value"].alias("raw"),
-            text.context(F.col("body"), m["start"], m["end"]).alias("context"),
-            text.is_masked(F.col("body"), m["start"], m["end"]).alias("masked"),
-        ),
-    )
-    return rows.select("report_id", F.explode(around).alias("m")).select("report_id", "m.*")
+    rows = body.select("report_id", F.concat(*lists).alias("m"), "body").filter(F.size("m") > 0)
+
+    def around(pieces: Column) -> Column:
+        return F.transform(
+            "m",
+            lambda m: F.struct(
+                *[m[n].alias(n) for n in ("phase", "kind", "start")],
+                m["value"].alias("raw"),
+                text.context(pieces, m["start"], m["end"]).alias("context"),
+                text.is_masked(pieces, m["start"], m["end"]).alias("masked"),
+            ),
+        )
+
+    return rows.select("report_id", F.explode(text.bound(text.blocks(F.col("body")), around)).alias("m")).select("report_id", "m.*")
 
 
 def _tagged(matches: Column, phase: int, kind: str) -> Column:

@@ -33,7 +33,23 @@ def test_white_space_is_unicode(spark):
 def test_clean_and_placeholder(spark):
     assert one(spark, text.clean(F.col("t")), t=" 'http://a.b/). ") == "http://a.b/"
     assert one(spark, text.has_placeholder(F.col("t")), t="a[REDACTED]b")
-    assert one(spark, text.is_masked(F.col("t"), F.lit(4), F.lit(7)), t="ab* x.y")
+    assert one(spark, text.is_masked(text.blocks(F.col("t")), F.lit(4), F.lit(7)), t="ab* x.y")
+
+
+def test_places_in_long_texts(spark):
+    t = "ab🎉é" * 1000
+    for s, e in [(0, 5), (1020, 1030), (3990, 4000), (0, 0), (1024, 2048), (2047, 2049), (3999, 4005)]:
+        assert one(spark, text.cut(text.blocks(F.col("t")), F.lit(s), F.lit(e)), t=t) == t[s:e]
+    for values in ([], [3], [1, 5, 2, 7, 1]):
+        rows = spark.createDataFrame([(values,)], "v array<int>")
+        got = rows.select(text.scan(F.col("v"), lambda a, b: a + b).alias("sum"), text.scan(F.col("v"), F.greatest).alias("max")).first()
+        assert got.sum == [sum(values[: k + 1]) for k in range(len(values))] and got.max == [max(values[: k + 1]) for k in range(len(values))]
+
+
+def test_many_matches(spark):
+    t = "é x1 " * 50_000
+    got = spark.createDataFrame([(t,)], "t string").select(F.explode(text.matches(F.col("t"), "[a-z][0-9]")).alias("m")).agg(F.count("m"), F.max("m.start")).first()
+    assert tuple(got) == (50_000, 5 * 49_999 + 2)
 
 
 def brute_chunks(s, most, overlap):
