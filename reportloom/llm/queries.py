@@ -50,13 +50,13 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = quality_rules.judge(docs, keep_text=False)
-    return out.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+    return out.select("doc_id", *quality_rules.COUNTS, "base_failed", "host_trust", "kept")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     counts = [f"n_{k}" for k in pii.KINDS]
-    return out.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), "n_spans", pii.listed(F.col("secrets")).alias("secrets"))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
