@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _WRITTEN: dict[str, SparkSession] = {}
@@ -74,6 +74,22 @@ def partitions_for(df: DataFrame, column: str, per_task: int = TASK_BYTES) -> in
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / per_task))
 
 
+def sums_before(df: DataFrame, order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """df with columns that sum each of values over all rows before, in the given order. Ranges of rows are summed one
+    by one, after the ranges' own sums (one row each) have been summed, so no task holds all rows. Rows that are
+    equal by order have to be equal."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    names = list(values)
+    whole = ranged.groupBy("__range").agg(*[F.sum(values[k]).alias(f"__{k}") for k in names])
+    upto = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = whole.select("__range", *[(F.sum(f"__{k}").over(upto) - F.col(f"__{k}")).alias(f"__{k}") for k in names])
+    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = ranged.join(F.broadcast(whole), "__range")  # at most n rows
+    return rows.withColumns({k: F.col(f"__{k}") + F.sum(values[k]).over(within) - values[k] for k in names}).drop("__range", *[f"__{k}" for k in names])
+
+
 def as_bytes(column: pa.Array) -> Iterator[bytes | None]:
     """UTF-8 bytes of a string column row by row, None where null. Only the row at hand is copied."""
     data, offsets = flat(column)
