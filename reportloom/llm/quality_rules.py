@@ -1,11 +1,13 @@
 """Host-level quality rules: failures by host, shrunk rates, verdicts joined back to the documents.
 
-1. Every document is measured once (word, symbol, line and repetition counts) and checked against RULES.
-2. Failures are summed by host. Host rates are shrunk by a beta prior whose two parameters come from the
-   mean and the spread of all hosts' rates (moments), so hosts with few documents lean on the corpus.
-3. Each document's verdict weighs its own failures by its host's shrunk rate. A host whose rate is low is
-   trusted: its documents go only if they fail two rules. On any other host one failure is enough. A
-   document that fails no rule always stays, whatever its host.
+1. Every document is measured once (word, symbol, line and repetition counts) and checked against the rules.
+2. Failures are summed by host. Host rates are shrunk by a beta prior with the corpus's rate as its mean. Its strength
+   comes from how much more hosts differ than chance alone would make them (moments, hosts weighted by their
+   documents; at most MOST_STRENGTH documents), so small hosts, and hosts of an even corpus, lean on the corpus.
+3. A host is trusted if its shrunk rate is below TRUST of the corpus's, distrusted above the inverse. It decides on
+   borderline documents, those that fail one rule but not the base rule: a trusted host's stay, a distrusted host's
+   go, and any other's stay if the failure is mild (the measure is within half as much again of its limit).
+   Documents that fail nothing stay and those that fail more go, whatever their host.
 
 Edge cases: a null or empty text has no words, fails the base rule and is rejected. A null host is a host
 of its own. Repeated rows are separate documents. An empty table gives an empty result. Extra columns stay.
@@ -24,10 +26,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 from reportloom.llm.runtime import as_bytes, cleared, materialize
 
 WINDOW = 5
-# A host below this shrunk failure rate is trusted.
-TRUST = 0.05
-# Host rates differ by no less than this variance, else the prior would be a point.
-LEAST_VARIANCE = 1e-6
+# A host whose shrunk rate is below this share of the corpus's is trusted.
+TRUST = 0.98
+# The prior counts as much as this many documents at most, and as one at least.
+MOST_STRENGTH = 1000.0
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -109,28 +111,46 @@ def failures() -> Column:
     return sum((r.cast("long") for r in rules[1:]), rules[0].cast("long"))
 
 
+def mild() -> Column:
+    """Is every failed rule's measure within half as much again of its limit?"""
+    return (
+        (20 * F.col("n_symbols") <= 3 * F.col("n_words"))
+        & (2 * F.col("word_chars") <= 45 * F.col("n_words"))
+        & (3 * F.col("word_chars") >= 4 * F.col("n_words"))
+        & (40 * F.col("n_dup_lines") <= 3 * F.col("n_words"))
+    )
+
+
 def host_rates(measured: DataFrame, host: str) -> DataFrame:
-    """__host, host_rate: the failure rate shrunk towards the corpus by a beta prior. A row for each host."""
+    """__host, host_rate (the failure rate shrunk towards the corpus's by a beta prior) and host_trust (1, 0 or -1). A row
+    for each host."""
     hosts = measured.groupBy(F.col(host).alias("__host")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_failures") > 0).alias("failed"))
     hosts = materialize(hosts, "hosts")
-    raw = F.col("failed") / F.col("n")
-    mean, variance = hosts.agg(F.avg(raw), F.var_pop(raw)).first()
-    mean, variance = mean or 0.0, max(variance or 0.0, LEAST_VARIANCE)
-    strength = max(mean * (1 - mean) / variance - 1, 1.0)
-    return hosts.select("__host", ((F.lit(mean * strength) + F.col("failed")) / (F.lit(strength) + F.col("n"))).alias("host_rate"))
+    n, failed = F.col("n").cast("double"), F.col("failed").cast("double")
+    all_, bad, squares, spread, count = hosts.agg(F.sum(n), F.sum(failed), F.sum(n * n), F.sum(failed * failed / n), F.count(F.lit(1))).first()
+    mean, strength = (bad / all_, MOST_STRENGTH) if count else (0.0, MOST_STRENGTH)
+    chance = mean * (1 - mean)
+    if count and count > 1 and chance > 0:
+        # of the hosts' spread around the mean, what chance alone would not make, as a share
+        extra = (spread - all_ * mean * mean) / chance - (count - 1)
+        share = extra / (all_ - squares / all_ - (count - 1)) if all_ - squares / all_ > count - 1 else 0.0
+        strength = min(max(1 / share - 1, 1.0), MOST_STRENGTH) if share > 0 else MOST_STRENGTH
+    rate = (F.lit(mean * strength) + failed) / (F.lit(strength) + n)
+    trust = F.when(rate < mean * TRUST, 1).when(rate * TRUST > mean, -1).otherwise(0)
+    return hosts.select("__host", rate.alias("host_rate"), trust.alias("host_trust"))
 
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs with COUNTS, base_failed, n_failures, host_rate and kept added.
+    """docs with COUNTS, base_failed, n_failures, host_rate, host_trust and kept added.
 
     Input columns with the names of added ones are replaced. With keep_text the texts stay and are measured
     twice, once for the hosts and once for the verdicts, rather than written in between.
     """
-    docs = cleared(docs, [*COUNTS, "base_failed", "n_failures", "host_rate", "kept", "__host"], keep=[host, text])
+    docs = cleared(docs, [*COUNTS, "base_failed", "n_failures", "host_rate", "host_trust", "kept", "__host"], keep=[host, text])
     measured = measure(docs, text).withColumns({"base_failed": base_failed(), "n_failures": failures()})
     if not keep_text:
         measured = materialize(measured.drop(text), "rules")
     rates = host_rates(measured, host)
-    most = F.when(F.col("host_rate") < TRUST, 1).otherwise(0)
     joined = measured.join(rates, measured[host].eqNullSafe(rates["__host"]), "left").drop("__host")
-    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("n_failures") <= most))
+    borderline = (F.col("n_failures") == 1) & ((F.col("host_trust") > 0) | ((F.col("host_trust") == 0) & mild()))
+    return joined.withColumn("kept", ~F.col("base_failed") & ((F.col("n_failures") == 0) | borderline))
