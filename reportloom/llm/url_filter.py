@@ -4,9 +4,10 @@ Host and path are cut out of the url, the longest rule that fits gives the verdi
 the labelled ones: the trees learn allow and block from them, on length, depth, digit ratio, entropy, numbers of
 parameters and statistics of the host's suffix and the path's first part, and judge all others. Such a
 statistic is the shrunk share of blocked URLs among the labelled ones with the same last two labels of the host,
-or the same first part of the path; one that was not labelled has the overall share. A quarter of the labelled
-urls is left out of the trees: the threshold for block is the least score of a half or more from which at least
-PRECISION of that quarter are blocked ones, so that the trees leave a url alone when in doubt.
+or the same first part of the path; one that was not labelled has the overall share. URLs fall into FOLDS folds by
+hash; a labelled one's shares are those of the other folds, so that no url's own label is among its features. The
+first fold is left out of the trees: the threshold for block is the least score of a half or more from which at least
+PRECISION of that fold are blocked ones, so that the trees leave a url alone when in doubt.
 
 What the trees learn from is bounded: MOST_LABELLED urls, taken evenly by a hash of the url. Everything else covers
 all rows; features, rules and trees are column expressions. The shares of all suffixes and first parts are tables,
@@ -34,6 +35,7 @@ MOST_LABELLED = 50_000
 MOST_SHARES = 500
 MOST_BROADCAST = 500_000
 PRECISION = 0.9
+FOLDS = 4
 # Features of a url, the two shares included.
 COUNT = 18
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -100,17 +102,22 @@ def head_of(path: Column) -> Column:
     return F.coalesce(F.get(F.split(path, "/"), F.lit(1)), F.lit(""))
 
 
+def fold_of(url: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(4), url), F.lit(FOLDS)).cast("int")
+
+
 def judge(pages: DataFrame, url: str = "url", rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """pages with host, path, rule, verdict and block_score (of the trees) added."""
-    pages = cleared(pages, ["host", "path", "rule", "verdict", "block_score", "__found", "__f", "__suffix", "__head"], keep=[url])
+    pages = cleared(pages, ["host", "path", "rule", "verdict", "block_score", "__found", "__f", "__suffix", "__head", "__fold"], keep=[url])
     rows = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     rows = rows.withColumn("__found", rule_of(F.col("host"), F.col("path"), rules))
-    labelled = rows.filter("__found is not null").select(url, "host", "path", (F.col("__found.verdict") == "block").alias("blocked"))
+    labelled = rows.filter("__found is not null").select(url, "host", "path", (F.col("__found.verdict") == "block").alias("blocked"), fold_of(F.col(url)).alias("__fold"))
     yes, no = labelled.agg(F.count_if("blocked"), F.count_if(~F.col("blocked"))).first()
     overall = (yes + 1) / (yes + no + 2)
     for name, key in (("__suffix", suffix_of(F.col("host"))), ("__head", head_of(F.col("path")))):
         known = materialize(_shares(labelled, key, overall), "shares")
-        labelled, rows = (_with_share(x, name, key, url, known, overall) for x in (labelled, rows))
+        labelled = _with_share(labelled, name, key, url, known, overall, F.col("__fold"))
+        rows = _with_share(rows, name, key, url, known, overall, F.lit(FOLDS))
     made = F.array(*features(F.col(url), F.col("host"), F.col("path"), [F.col("__suffix"), F.col("__head")]))
     model, least = _fit(labelled, url, made, yes + no)
     rows = rows.withColumn("__f", made)
@@ -120,33 +127,39 @@ def judge(pages: DataFrame, url: str = "url", rules: list[tuple[str, str]] = RUL
 
 
 def _shares(labelled: DataFrame, key: Column, overall: float) -> DataFrame:
-    """(__key, __n, __share): for every key the shrunk share of blocked urls among those labelled."""
-    counts = labelled.groupBy(key.alias("__key")).agg(F.count_if("blocked").alias("yes"), F.count(F.lit(1)).alias("__n"))
-    return counts.select("__key", "__n", ((F.col("yes") + 10 * overall) / (F.col("__n") + 10)).alias("__share"))
+    """(__key, __n, __share): for every key the shrunk shares of blocked urls among those labelled, without each fold in
+    turn, and at last of all folds."""
+    here = [F.col("__fold") == k for k in range(FOLDS)]
+    counts = [F.count_if(F.col("blocked") & h).alias(f"yes{k}") for k, h in enumerate(here)] + [F.count_if(h).alias(f"n{k}") for k, h in enumerate(here)]
+    counts = labelled.groupBy(key.alias("__key")).agg(*counts, F.count_if("blocked").alias("yes"), F.count(F.lit(1)).alias("__n"))
+    left = [(F.col("yes") - F.col(f"yes{k}") + 10 * overall) / (F.col("__n") - F.col(f"n{k}") + 10) for k in range(FOLDS)]
+    return counts.select("__key", "__n", F.array(*left, (F.col("yes") + 10 * overall) / (F.col("__n") + 10)).alias("__share"))
 
 
-def _with_share(rows: DataFrame, name: str, key: Column, url: str, known: DataFrame, overall: float) -> DataFrame:
-    """rows with the share of their key, the overall one where it was not labelled."""
+def _with_share(rows: DataFrame, name: str, key: Column, url: str, known: DataFrame, overall: float, which: Column) -> DataFrame:
+    """rows with the share of their key that `which` picks, the overall one where it was not labelled."""
     table = known.select("__key", "__share")
     rows = rows.withColumn("__key", key)
     if known.count() <= MOST_BROADCAST:
-        return rows.join(F.broadcast(table), "__key", "left").withColumn(name, F.coalesce("__share", F.lit(overall))).drop("__key", "__share")
+        return rows.join(F.broadcast(table), "__key", "left").withColumn(name, F.coalesce(F.get("__share", which), F.lit(overall))).drop("__key", "__share")
     top = known.orderBy(F.col("__n").desc(), "__key").limit(MOST_SHARES).collect()
-    often = F.try_element_at(F.create_map(*[F.lit(v) for r in top for v in (r["__key"], r["__share"])]), F.col("__key"))
-    rows = rows.withColumn(name, often)
+    often = F.try_element_at(F.create_map(*[x for r in top for x in (F.lit(r["__key"]), F.array(*map(F.lit, r["__share"])))]), F.col("__key"))
+    rows = rows.withColumn(name, F.get(often, which))
     # rows that have their share are spread over keys that no table has
     spread = F.concat(F.lit("\0/"), F.pmod(F.xxhash64(url), F.lit(4096)).cast("string"))
     rows = rows.withColumn("__key", F.when(F.col(name).isNull(), F.col("__key")).otherwise(spread))
-    return rows.join(table, "__key", "left").withColumn(name, F.coalesce(name, "__share", F.lit(overall))).drop("__key", "__share")
+    return rows.join(table, "__key", "left").withColumn(name, F.coalesce(name, F.get("__share", which), F.lit(overall))).drop("__key", "__share")
 
 
 def _fit(labelled: DataFrame, url: str, made: Column, n: int) -> tuple[tuple[float, list], float]:
     if n > MOST_LABELLED:
         labelled = labelled.filter(F.pmod(F.xxhash64(F.lit(3), url), F.lit(1_000_000)) < int(1_000_000 * MOST_LABELLED / n))
-    rows = labelled.select(made.alias("f"), "blocked", F.pmod(F.xxhash64(F.lit(4), url), F.lit(4)).alias("part")).collect()  # bounded by MOST_LABELLED
-    if len({r.blocked for r in rows}) < 2:
+    table = labelled.select(made.alias("f"), F.col("blocked").cast("int").alias("blocked"), "__fold").toArrow()  # bounded by MOST_LABELLED
+    if len(table.column("blocked").unique()) < 2:
         return (0.0, []), 2.0
-    x = np.array(sorted((*r.f, int(r.blocked), r.part) for r in rows), np.int64)
+    f = table.column("f").combine_chunks().flatten().to_numpy().reshape(-1, COUNT)
+    x = np.column_stack([f, table.column("blocked").to_numpy(), table.column("__fold").to_numpy()]).astype(np.int64)
+    x = x[np.lexsort(x.T[::-1])]
     if not (x[:, -1] > 0).any():
         return (0.0, []), 2.0
     left_out, blocked = x[:, -1] == 0, x[:, -2].astype(np.float64)
