@@ -7,13 +7,14 @@ passages around changes tuples although the set of k-mers stays, so equal slots
 A long text's numbered k-mers are dealt out to slots by the leading bits of one hash, each slot selecting among
 its own; a slot that gets fewer than PICK that way selects among all of them by a hash of its own.
 
-Neighbours: documents are ordered by doc_id (null first), then by text, and cut into ranges at approximate
-quantiles. Each range gets the first document of the next one besides, so no range waits for another and the
-texts are shuffled once. The last document's neighbour is the first.
+Neighbours: documents are ordered by doc_id (null first), then by text, and cut into ranges of about as many bytes
+at approximate quantiles. Each range gets the first document of the next one besides, so no range waits for another
+and the texts are shuffled once, each range to a partition of its own. The last document's neighbour is the first.
 
 Edge cases: a null or empty text has no k-mers and a fingerprint of zeros. A text shorter than K is one k-mer.
-Equal texts have equal fingerprints. Repeated rows are documents of their own and neighbours of each other. An
-empty table gives an empty result; a single document is its own neighbour.
+Equal texts have equal fingerprints. Repeated rows are documents of their own and neighbours of each other; all rows
+with the same doc_id are in one range, as doc_id is meant to be a key. An empty table gives an empty result; a single
+document is its own neighbour.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from reportloom.llm.runtime import as_bytes, partitions_for
 K = 8
 SLOTS = 64
 PICK = 2
+# Small ranges whose bytes are summed before as many are put together as make a partition.
+FINE = 16
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SALTS = np.random.default_rng(11).integers(0, 1 << 63, SLOTS).astype(np.uint64)
 
@@ -136,24 +139,33 @@ def neighbours(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(least))
     n = partitions_for(rows, "text")
-    cuts = rows.agg(F.percentile_approx(key, [k / n for k in range(1, n)] or [0.5], max(10_000, 4 * n))).first()[0]
+    cuts = rows.agg(F.percentile_approx(key, [k / (FINE * n) for k in range(1, FINE * n)], max(10_000, 4 * FINE * n))).first()[0]
     cuts = np.unique(np.array(cuts or [], np.int64))
 
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(), side="right").astype(np.int32))
+    def place_in(cuts: np.ndarray):
+        @F.pandas_udf("int")
+        def place(ids: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(cuts, ids.to_numpy(), side="right").astype(np.int32))
+
+        return place
 
     rows = rows.withColumn("key", key)
-    # a row for each range: at most as many as there are partitions
-    firsts = sorted(tuple(r) for r in rows.select("key").withColumn("part", range_of("key")).groupBy("part").agg(F.min("key").alias("first")).collect())
-    if not firsts:
+    # a row for each small range: at most FINE times as many as there are partitions
+    fine = rows.select("key", F.octet_length("text").alias("size")).withColumn("fine", place_in(cuts)("key")).groupBy("fine").agg(F.min("key").alias("first"), F.sum("size").alias("bytes"))
+    fine = sorted(tuple(r) for r in fine.collect())
+    if not fine:
         return docs.sparkSession.createDataFrame([], _OUT)
-    heads = [(part, firsts[(k + 1) % len(firsts)][1]) for k, (part, _) in enumerate(firsts)]
-    heads = docs.sparkSession.createDataFrame(heads, "part int, first long")
+    # a partition begins where the bytes before it pass the next n-th of all
+    before = np.cumsum([0] + [b for *_, b in fine[:-1]])
+    step = max(1.0, (before[-1] + fine[-1][2]) / n)
+    heads = [k for k in range(len(fine)) if k == 0 or before[k] // step > before[k - 1] // step]
+    starts = [fine[k][1] for k in heads]
+    range_of = place_in(np.array(starts[1:], np.int64))
+    heads = docs.sparkSession.createDataFrame([(part, starts[(part + 1) % len(starts)]) for part in range(len(starts))], "part int, first long")
     own = rows.withColumn("part", range_of("key")).withColumn("head", F.lit(0))
     # bounded by the number of partitions
     other = rows.join(F.broadcast(heads), F.col("key") == F.col("first")).select("doc_id", "text", "key", "part", F.lit(1).alias("head"))
-    dealt = own.unionByName(other).repartition(n, "part").sortWithinPartitions("part", "head", "key", "text")
+    dealt = own.unionByName(other).repartitionById(len(starts), F.col("part")).sortWithinPartitions("part", "head", "key", "text")
 
     def run(batches):
         names = [c.split()[0] for c in _OUT.split(", ")]
