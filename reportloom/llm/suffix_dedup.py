@@ -12,9 +12,11 @@ anchors at equal offsets, so only segments with the same anchor hash have to be
 3. `_expand`: the requested segments of an anchor come together. Their suffixes are sorted, and on the
    Burrows-Wheeler transform intervals are extended backwards, breadth first, one byte in each round: round k
    yields exactly the boundaries where k bytes are the common prefix, in increasing order, and stops at LENGTH. What is not a
-   boundary by then is a group of equal windows, of which all but the first are marked. An anchor with more
-   than BLOCK bytes of segments isn't gathered: its windows are dealt out by their own hash instead, again
-   with the least place kept by partial aggregates.
+   boundary by then is a group of equal windows, of which all but the first are marked.
+   An anchor with more than BLOCK bytes of segments isn't gathered. Its windows are split by a further minimizer,
+   of another hash, of which equal windows again have the same; equal pieces are marked but for the first, and the
+   others expanded as above. What is too large after LEVELS such splits is dealt out by the windows' own hashes, with
+   the least place kept by partial aggregates.
 4. `remove`: each document's marked windows are merged into spans.
 
 Segments are compared by 64 bits of hash besides the 64 of the anchor; all others byte by byte.
@@ -43,6 +45,7 @@ LENGTH = 100
 GRAM = 32
 # Most bytes of segments of one anchor that are sorted together.
 BLOCK = 4 << 20
+LEVELS = 4
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 # hash, hash of the segment, place: id and mark of the document, first window and number of windows
@@ -72,9 +75,13 @@ def _window_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors_of(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one text: anchor hashes, the first window and the number of windows of each."""
+def anchors_of(data: np.ndarray, length: int, gram: int, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one text: anchor hashes, the first window and the number of windows of each. level: which order of hashes."""
     h = _gram_hashes(data, gram)
+    if level:
+        with np.errstate(over="ignore"):
+            h = (h ^ (np.uint64(level) * _A)) * np.uint64(0xD6E8FEB86659FD93)
+            h = (h ^ (h >> np.uint64(32))) * _A
     at = np.arange(len(h), dtype=np.uint64)
     # the leftmost of equal ones is least: 40 bits of hash, then 24 of place within blocks that overlap
     step = (1 << 24) - length
@@ -347,8 +354,58 @@ def _expand(segments: DataFrame, length: int, block: int) -> DataFrame:
     return segments.mapInArrow(run, _MARKS)
 
 
+def _split(segments: DataFrame, level: int, length: int, gram: int) -> DataFrame:
+    """Segments in pieces whose windows have the same minimizer of this level too; anchor is a hash of both."""
+
+    def run(batches):
+        names = ["anchor", "id", "mark", "start", "windows", "data"]
+        for batch in batches:
+            anchor, ids, marks, starts = (batch.column(k).to_numpy() for k in (0, 1, 2, 3))
+            data, offsets = flat(batch.column(5))
+            rows, out = [], ([], [], [], [])
+            for k, (s, e) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
+                hashes, first, windows = anchors_of(data[s:e], length, gram, level)
+                with np.errstate(over="ignore"):
+                    mixed = (hashes ^ (anchor[k : k + 1].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * _A
+                rows += [k] * len(first)
+                out[0].append((mixed ^ (mixed >> np.uint64(31))).view(np.int64))
+                out[1].append(starts[k] + first)
+                out[2].append(windows)
+                out[3].extend(data[s + a : s + a + n + length - 1].tobytes() for a, n in zip(first.tolist(), windows.tolist(), strict=True))
+            if rows:
+                columns = [pa.array(np.concatenate(out[0])), pa.array(ids[rows]), pa.array(marks[rows]), pa.array(np.concatenate(out[1]).astype(np.int32)), pa.array(np.concatenate(out[2]).astype(np.int32)), pa.array(out[3], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return segments.select("anchor", "id", "mark", "start", "windows", "data").mapInArrow(run, "anchor long, id long, mark long, start int, windows int, data binary")
+
+
+def _heavy(segments: DataFrame, block: int) -> DataFrame:
+    """anchor: those with more bytes than a block."""
+    return materialize(segments.groupBy("anchor").agg(F.sum("bytes").alias("bytes")).filter(F.col("bytes") > block).select("anchor"), "heavy")
+
+
+def _large(segments: DataFrame, length: int, gram: int, block: int, buckets: int) -> DataFrame:
+    """Marks in anchors with more segments than a block."""
+    marks = segments.sparkSession.createDataFrame([], _MARKS)
+    for level in range(1, LEVELS + 1):
+        pieces = materialize(_split(segments, level, length, gram).withColumns({"a": F.xxhash64("data"), "b": F.xxhash64(F.lit(level), "data")}), "pieces")
+        place = F.struct("id", "mark", "start")
+        # written before it is joined, so that many equal pieces can be split over tasks
+        first = materialize(pieces.groupBy("anchor", "a", "b").agg(F.min(place).alias("first")), "first")
+        told = pieces.join(first, ["anchor", "a", "b"])
+        marks = marks.unionByName(told.filter(place > F.col("first")).select("id", "mark", "start", "windows"))
+        segments = materialize(told.filter(place == F.col("first")).select("anchor", "id", "mark", "start", "windows", "data"), "segments")
+        heavy = _heavy(segments.withColumn("bytes", F.octet_length("data")), block)
+        usual = segments.join(heavy, "anchor", "left_anti").repartition(buckets, "anchor").sortWithinPartitions("anchor", "id", "mark", "start")
+        marks = marks.unionByName(_expand(usual, length, block))
+        if heavy.isEmpty():
+            return marks
+        segments = segments.join(heavy, "anchor", "left_semi")
+    return marks.unionByName(_spread(segments, length))
+
+
 def _spread(segments: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with more segments than a block: every window by itself, least place by its bytes."""
+    """The same for what no split makes small enough: every window by itself, least place by its bytes."""
     window = segments.select("id", "mark", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("k"), "start", "data")
     window = window.select("id", "mark", (F.col("start") + F.col("k")).alias("start"), F.substring("data", F.col("k") + 1, F.lit(length)).alias("bytes"))
     window = window.withColumn("digest", F.sha2("bytes", 256)).drop("bytes")
@@ -359,7 +416,7 @@ def _spread(segments: DataFrame, length: int) -> DataFrame:
 
 def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, keep_text: bool = True) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_sha256 and (keep_text) kept, the remaining bytes, added."""
-    docs = cleared(docs, ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "__id", "__mark", "__spans"], keep=[text, doc_id])
+    docs = cleared(docs, ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "__id", "__mark", "__spans", "__own", "__own_mark"], keep=[text, doc_id])
     least = -(1 << 63)  # stands for a null doc_id
     # only where ids repeat do texts' hashes have to tell documents apart
     repeats = not docs.groupBy(doc_id).count().filter("count > 1").isEmpty()
@@ -370,8 +427,7 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length:
     met = materialize(_meet(dealt), "anchors")
     asked = met.filter("anchor is not null")
     # the bytes of each anchor's segments bound what is sorted together
-    heavy = asked.groupBy("anchor").agg(F.sum(F.col("windows") + F.lit(length - 1)).alias("bytes")).filter(F.col("bytes") > block).select("anchor")
-    heavy = materialize(heavy, "heavy")
+    heavy = _heavy(asked.withColumn("bytes", F.col("windows") + F.lit(length - 1)), block)
     lists = asked.groupBy("id", "mark").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("asked"))
     texts = own.select("__id", "__mark", text).join(lists, (F.col("__id") == F.col("id")) & (F.col("__mark") == F.col("mark")))
     piece = texts.select("id", "mark", F.encode(F.col(text), "UTF-8").alias("utf8"), F.explode("asked").alias("a"))
@@ -382,9 +438,10 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length:
     usual = segments.join(heavy, "anchor", "left_anti").repartition(buckets, "anchor").sortWithinPartitions("anchor", "id", "mark", "start")
     marks = met.filter("anchor is null").select("id", "mark", "start", "windows").unionByName(_expand(usual, length, block))
     if not heavy.isEmpty():
-        marks = marks.unionByName(_spread(segments.join(heavy, "anchor", "left_semi"), length))
+        marks = marks.unionByName(_large(segments.join(heavy, "anchor", "left_semi"), length, gram, block, buckets))
     spans = marks.groupBy("id", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "windows"))).alias("__spans"))
-    joined = own.join(spans, (F.col("__id") == F.col("id")) & (F.col("__mark") == F.col("mark")), "left").drop("id", "mark", "__id", "__mark")
+    spans = spans.withColumnsRenamed({"id": "__own", "mark": "__own_mark"})
+    joined = own.join(spans, (F.col("__id") == F.col("__own")) & (F.col("__mark") == F.col("__own_mark")), "left").drop("__own", "__own_mark", "__id", "__mark")
     return _cut(joined, text, length, keep_text)
 
 
