@@ -36,8 +36,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK = 4 << 20
 # Units whose ids a task remembers.
 KNOWN = 60_000
-# Longer units are searched one by one.
+# Longer units are searched one by one, by so many ends at a time.
 LONG = 96
+STEP = 1 << 16
 UNKNOWN_PENALTY = 10.0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 20
@@ -160,33 +161,42 @@ def _spell(table: Pieces, places: np.ndarray, points: np.ndarray) -> list[int]:
 
 
 def _search_long(table: Pieces, points: np.ndarray) -> list[int]:
-    """The same search for one long unit: all lookups first, then one step for each position."""
-    length = len(points)
-    with np.errstate(over="ignore"):
-        # windows of each size, hashed directly
-        steps = []
-        h = np.zeros(length + 1, np.uint64)
-        for size in range(1, min(table.longest, length) + 1):
-            h = h[: length - size + 1] * _BASE + points[size - 1 :].astype(np.uint64) + np.uint64(1)
-            score, place = table.find(h)
-            if size == 1:
-                none = np.isneginf(score)
-                score[none], place[none] = table.unknown_score, -1
-            steps.append((score, place))
-    best, back = np.full(length + 1, -np.inf, np.float32), np.zeros(length + 1, np.int64)
-    best[0] = 0
-    window = np.full((len(steps), length + 1), -np.inf, np.float32)
-    for size, (score, _) in enumerate(steps, 1):
-        window[size - 1, size:] = score
-    for end in range(1, length + 1):
-        reach = min(end, len(steps))
-        sums = best[end - reach : end][::-1] + window[:reach, end]
-        k = reach - 1 - int(np.argmax(sums[::-1]))
-        best[end], back[end] = sums[k], k + 1
+    """The same search for one long unit: the lookups of STEP ends at a time, then one step for each end. What stays of
+    each end is the length and the place of its best piece."""
+    length, longest = len(points), max(1, table.longest)
+    back, piece = np.zeros(length + 1, np.int16), np.full(length + 1, -1, np.int32)
+    # best scores of the last `longest` ends, the latest last
+    tail = np.full(longest, -np.inf, np.float32)
+    tail[-1] = 0
+    for first in range(1, length + 1, STEP):
+        count = min(STEP, length + 1 - first)
+        # column j: the windows that end at first + j, a row for each size
+        score, place = np.full((longest, count), -np.inf, np.float32), np.zeros((longest, count), np.int32)
+        origin = max(0, first - longest)
+        some = points[origin : first + count - 1].astype(np.uint64) + np.uint64(1)
+        h = np.zeros(len(some) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            for size in range(1, min(longest, len(some)) + 1):
+                h = h[: len(some) - size + 1] * _BASE + some[size - 1 :]
+                found, at = table.find(h)
+                if size == 1:
+                    none = np.isneginf(found)
+                    found[none], at[none] = table.unknown_score, -1
+                # h[k] is of the window from origin + k, which ends at origin + k + size
+                skip = max(0, first - origin - size)
+                n = len(found) - skip
+                score[size - 1, count - n :], place[size - 1, count - n :] = found[skip:], at[skip:]
+        best = np.concatenate([tail, np.empty(count, np.float32)])
+        for j in range(count):
+            sums = best[j : j + longest][::-1] + score[:, j]
+            # of equal sums the longest piece stays
+            size = longest - 1 - int(np.argmax(sums[::-1]))
+            best[longest + j], back[first + j], piece[first + j] = sums[size], size + 1, place[size, j]
+        tail = best[count:]
     places, at = [], length
     while at:
-        places.append(steps[back[at] - 1][1][at - back[at]])
-        at -= back[at]
+        places.append(piece[at])
+        at -= int(back[at])
     return _spell(table, np.array(places[::-1]), points)
 
 
