@@ -26,3 +26,31 @@ def test_stages(spark, tmp_path):
     assert all(r.exact and r.n_tokens == len(r.ids) for r in out)
     assert sum(len(WORD.findall(r.text)) for r in docs.collect()) > 0
     assert len(out) == docs.count()
+
+
+def test_stages_on_repeated_rows_and_empty_tables(spark, tmp_path):
+    """A repeated row counts once from near-dedup on; an empty table gives empty results; clashing names do no harm."""
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    t = words(60, 1, 10**6)
+    rows = [(1, t, "en", "s", 9), (1, t, "en", "s", 9), (2, words(60, 2, 10**6), "en", None, 9), (None, words(60, 3, 10**6), "en", "s", 9), (3, None, None, None, None)]
+    for name, some in (("rows", rows), ("none", [])):
+        spark.createDataFrame(some, shape).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert all(r.exact for r in out)
+        assert {r.doc_id for r in out} <= {1, 2, None} and bool(out) == bool(some)
+    docs = spark.createDataFrame(rows, shape).withColumns({c: F.lit("x") for c in ("kept", "slot", "words", "__mark", "host_rate")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == corpus_pipeline.COLUMNS and out.count() >= 1
+
+
+def test_mix_is_written_in_the_order_of_slots(spark, tmp_path):
+    from reportloom.llm import mixing
+
+    rows = [(k, words(100 + k, k), "en", f"s{k % 3}", 0) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    slots = {r.doc_id: r.first_slot for r in mixing.report(docs).collect()}
+    once = {}
+    for r in corpus_pipeline.mix(spark, docs, "").collect():
+        once.setdefault(r.doc_id, len(once))
+    assert sorted(once, key=once.get) == sorted(once, key=lambda k: slots[k])
