@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reportloom.functions import net, text
+from reportloom.sources.tables import spread
 
 # What each kind of indicator looks like, in the order in which the kinds are looked for.
 PATTERNS = [
@@ -65,25 +66,25 @@ def found(reports: DataFrame, kinds: list[str] | None = None) -> DataFrame:
 
     All patterns run on one refanged column; only matches with their surroundings leave the row.
     """
-    body = reports.select("report_id", text.unmarked(text.refang(F.col("text"))).alias("body"))
-    lists, none = [], F.array().cast("array<struct<phase:int,kind:string,start:int,end:int,value:string>>")
-    for phase, (kind, pattern) in enumerate(PATTERNS):
-        if kinds is None or kind in kinds:
-            lists.append(F.when(F.col("body").rlike(SIGNS[kind]), _tagged(text.matches(F.col("body"), pattern), phase, kind)).otherwise(none))
-    rows = body.select("report_id", F.concat(*lists).alias("m"), "body").filter(F.size("m") > 0)
-
-    def around(pieces: Column) -> Column:
-        return F.transform(
-            "m",
-            lambda m: F.struct(
-                *[m[n].alias(n) for n in ("phase", "kind", "start")],
-                m["value"].alias("raw"),
-                text.context(pieces, m["start"], m["end"]).alias("context"),
-                text.is_masked(pieces, m["start"], m["end"]).alias("masked"),
-            ),
+    none = F.array().cast("array<struct<phase:int,kind:string,start:int,end:int,value:string>>")
+    wanted = [(phase, kind, pattern) for phase, (kind, pattern) in enumerate(PATTERNS) if kinds is None or kind in kinds]
+
+    def all_of(body: Column) -> Column:
+        lists = [F.when(body.rlike(SIGNS[kind]), _tagged(text.matches(body, pattern), phase, kind)).otherwise(none) for phase, kind, pattern in wanted]
+        return text.bound(F.concat(*lists), lambda found: text.bound(text.blocks(body), lambda pieces: F.transform(found, lambda m: around(m, pieces))))
+
+    def around(m: Column, pieces: Column) -> Column:
+        return F.struct(
+            *[m[n].alias(n) for n in ("phase", "kind", "start")],
+            m["value"].alias("raw"),
+            text.context(pieces, m["start"], m["end"]).alias("context"),
+            text.is_masked(pieces, m["start"], m["end"]).alias("masked"),
         )
 
-    return rows.select("report_id", F.explode(text.bound(text.blocks(F.col("body")), around)).alias("m")).select("report_id", "m.*")
+    # the refanged text is bound, or else it would be made again wherever it is used
+    rows = spread(reports.select("report_id", "text"))
+    found = text.bound(text.unmarked(text.refang(F.col("text"))), all_of)
+    return rows.select("report_id", F.explode(found).alias("m")).select("report_id", "m.*")
 
 
 def _tagged(matches: Column, phase: int, kind: str) -> Column:

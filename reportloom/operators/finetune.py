@@ -63,7 +63,7 @@ def _leaves(values: pd.Series) -> pd.Series:
     def one(raw):
         try:
             return walk(json.loads(raw), []) if raw is not None else []
-        except ValueError:
+        except (ValueError, RecursionError):
             return []
 
     return values.map(one)
@@ -193,6 +193,7 @@ def verify(lines: DataFrame) -> DataFrame:
 
 
 def verify_summary(verified: DataFrame) -> DataFrame:
+    """One row: files, records, and whether all are valid."""
     return verified.agg(F.count(F.lit(1)).alias("files"), F.sum("records").alias("records"), F.bool_and("valid").alias("all_valid"))
 
 
@@ -212,7 +213,7 @@ def object_in(values: pd.Series) -> pd.Series:
                 continue
             try:
                 value, end = json.JSONDecoder().raw_decode(bare, begin)
-            except ValueError:
+            except (ValueError, RecursionError):
                 continue
             if begin or end == len(bare):
                 return bare[begin:end] if isinstance(value, dict) else None
@@ -223,6 +224,14 @@ def object_in(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
+def split_messages(lines: DataFrame) -> DataFrame:
+    """path, line, prompt, user, expected of chat records' JSON lines: what a model is asked, and the JSON that it is asked
+    about and should answer. Lines with fewer than three messages are left out."""
+    said = F.from_json("value", "messages array<struct<role:string,content:string>>")["messages"]
+    rows = lines.withColumn("m", said).filter(F.size("m") >= 3)
+    return rows.select("path", "line", F.slice("m", 1, 2).alias("prompt"), F.col("m")[1]["content"].alias("user"), F.col("m")[2]["content"].alias("expected"))
+
+
 def score(answers: DataFrame) -> DataFrame:
     """answers (predicted, expected, user: JSON text; predicted null if it was no JSON) with six measures."""
     p, e = F.col("predicted"), F.col("expected")

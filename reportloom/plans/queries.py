@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reportloom.functions import net, text, yaml
 from reportloom.operators import enrich, evaluate, evidence, extract, finetune, kb, mapping, records, retrieval, sigma
 from reportloom.plans import pipeline
+from reportloom.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,10 +92,10 @@ def refang_text(spark, d):
     return synth(spark, d).select("report_id", text.refang(F.col("text")).alias("refanged"))
 
 
-@query(r"""select doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) as collapsed, trim(left(text, 40), ' ' || chr(10) || '.,;:!?)>]}''"') as cleaned from documents""")
+@query(r"""select doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) as collapsed, md5(trim(regexp_replace(text, '^\s+|\s+$', '', 'g'), '.,;:!?)>]}''"')) as cleaned from documents""")
 def clean_collapse(spark, d):
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", F.md5(text.collapse(F.col("text")).cast("binary")).alias("collapsed"), text.clean(F.substring("text", 1, 40)).alias("cleaned"))
+    return docs.select("doc_id", F.md5(text.collapse(F.col("text")).cast("binary")).alias("collapsed"), F.md5(text.clean(F.col("text")).cast("binary")).alias("cleaned"))
 
 
 @query("select doc_id, case when length(c) > 900 then rtrim(left(c, 897)) || '...' else c end as short from (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as c from documents)")
@@ -233,13 +234,17 @@ def context_windows(spark, d):
     return strict(spark, d).filter("type = 'url'").select("report_id", "context")
 
 
-@query(f"""
-with r as (select o_custkey as report_id, o_orderdate, o_orderkey, o_orderpriority as type, cast(o_orderkey % 5 as varchar) as v from orders)
-select report_id, type, v, o_orderkey from (select *, row_number() over (partition by report_id, type, v order by o_orderkey) as n from r) where n = 1
+@query("""
+with t as (select c_custkey as report_id, 'host-' || c_custkey || '.com' as h from customer)
+select report_id, 'domain' as type, h as value, 'url_host' as source, 'see ' || h || ' first, then http://www.' || h || '/Y and http://WWW.' || h || '/Y again' as context from t
+union all select report_id, 'url', 'http://www.' || h || '/Y', 'regex', 'see ' || h || ' first, then http://www.' || h || '/Y and http://WWW.' || h || '/Y again' from t
 """)
 def ioc_first_wins(spark, d):
-    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("report_id"), F.col("o_orderpriority").alias("type"), (F.col("o_orderkey") % 5).cast("string").alias("v"), "o_orderkey")
-    return rows.groupBy("report_id", "type", "v").agg(F.min("o_orderkey").alias("o_orderkey"))
+    """Urls come before bare domains, and of urls that differ in case only the first stays."""
+    h = F.concat(F.lit("host-"), F.col("c_custkey").cast("string"), F.lit(".com"))
+    said = F.concat(F.lit("see "), h, F.lit(" first, then http://www."), h, F.lit("/Y and http://WWW."), h, F.lit("/Y again"))
+    out = extract.extract(table(spark, d, "customer").select(F.col("c_custkey").alias("report_id"), said.alias("text")), net.suffix_rules(spark))
+    return out.select("report_id", "type", "value", joined("source").alias("source"), "context")
 
 
 # ---- sections and enrichment ---------------------------------------------------------------------------------
@@ -287,16 +292,15 @@ def section_first_match(spark, d):
 
 
 @query("""
-select o_orderkey, greatest(case when o_orderkey % 5 = 0 then 0.6 else (o_orderkey % 11) / 10.0 end, case when o_orderkey % 2 = 0 then 0.75 else 0 end,
+select o_orderkey, greatest(case when o_orderkey % 5 = 0 or o_orderkey % 11 = 0 then 0.6 else (o_orderkey % 11) / 10.0 end, case when o_orderkey % 2 = 0 then 0.75 else 0 end,
   case when o_orderkey % 3 = 0 then 0.85 else 0 end, case when o_orderkey % 7 = 0 then 0.9 else 0 end)::double as confidence
-from (select * from orders where o_orderkey % 11 <> 0)
+from orders
 """)
 def confidence_ladder(spark, d):
     k = F.col("o_orderkey")
     base = F.when(k % 5 != 0, (k % 11) / 10.0)
     title = F.when(k % 3 == 0, "Appendix IOC").otherwise("Summary")
-    rows = table(spark, d, "orders").filter("o_orderkey % 11 <> 0")
-    return rows.select("o_orderkey", enrich.confidence(base, k % 2 == 0, title, k % 7 == 0).alias("confidence"))
+    return table(spark, d, "orders").select("o_orderkey", enrich.confidence(base, k % 2 == 0, title, k % 7 == 0).alias("confidence"))
 
 
 @query(f"select report_id, ip, cast(1024 + k % 5000 as varchar) as port from ({SYNTH_IPS})")
@@ -572,22 +576,11 @@ def hallucination_guard(spark, d):
     return out.select("l_orderkey", "l_linenumber", F.array_join(F.transform("selected_techniques", lambda s: s["technique_id"]), ",").alias("selected"), joined("validation_errors").alias("errors"))
 
 
-@query()
-def mapping_prompts(spark, d):
-    base = techniques(spark, d)
-    asked = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
-    hits = retrieval.search(retrieval.build(base), asked, 5)
-    rows = asked.join(mapping.candidates(hits, base, ["query_id"]), "query_id", "left")
-    none = F.array().cast(rows.schema["candidates"].dataType)
-    out = mapping.prompt_only(rows.withColumn("candidates", F.coalesce("candidates", none)))
-    return out.select("query_id", F.size("candidates").alias("candidates"), F.length("user_prompt").alias("prompt_length"), joined("validation_errors").alias("errors"))
-
-
 # ---- rules ---------------------------------------------------------------------------------------------------
 
 
 def rule_inputs(spark, d):
-    iocs = strict(spark, d).withColumn("report_id", F.concat(F.lit("c"), F.pmod(F.substring("report_id", 2, 20).cast("long"), F.lit(50)).cast("string")))
+    iocs = tables.saved(strict(spark, d), "strict").withColumn("report_id", F.concat(F.lit("c"), F.pmod(F.substring("report_id", 2, 20).cast("long"), F.lit(50)).cast("string")))
     reports = iocs.select("report_id").distinct().select("report_id", F.concat(F.lit("Report "), F.col("report_id")).alias("report_title"), F.concat(F.lit("https://x/"), F.col("report_id")).alias("original_link"), F.lit("feed").alias("source"), F.lit("a.pdf").alias("pdf_file"))
     mappings = reports.select("report_id", F.lit("T1071.001").alias("technique_id"), F.array(F.lit("command_and_control")).alias("tactics"), F.array(F.struct(F.lit("section").alias("source"))).alias("evidence"))
     return iocs, reports, mappings
@@ -619,8 +612,8 @@ def sigma_tags(spark, d):
 @query(f"""
 {RULES}
 select report_id || '.' || id || '.sigma.yml' as file_name, 'title: "' || title || '"' || chr(10) || 'id: ' || id || chr(10) || 'status: experimental' || chr(10)
-  || 'description: "Detects ipv4 indicators extracted from CTI report ''Report ' || report_id || '''. Generated from Module A IoC JSON and Module B ATT&CK mapping output."' || chr(10)
-  || 'references:' || chr(10) || '  - https://x/' || report_id || chr(10) || 'author: "LLM-driven CTI-to-Detection Pipeline"' || chr(10) || 'date: 2026/06/04' || chr(10)
+  || 'description: "Detects ipv4 indicators extracted from CTI report ''Report ' || report_id || '''. Generated from extracted indicators and mapped techniques."' || chr(10)
+  || 'references:' || chr(10) || '  - https://x/' || report_id || chr(10) || 'author: reportloom' || chr(10) || 'date: 2026/06/04' || chr(10)
   || 'tags:' || chr(10) || '  - attack.command-and-control' || chr(10) || '  - attack.t1071.001' || chr(10) || 'logsource:' || chr(10) || '  category: network_connection' || chr(10)
   || 'detection:' || chr(10) || '  selection_dst_ip:' || chr(10) || '    DestinationIp:' || chr(10) || array_to_string([('      - ' || x) for x in l], chr(10)) || chr(10)
   || '  selection_dst_ip_alt:' || chr(10) || '    dst_ip:' || chr(10) || array_to_string([('      - ' || x) for x in l], chr(10)) || chr(10)
@@ -822,13 +815,6 @@ def json_object_scan(spark, d):
     return table(spark, d, "part").select("p_partkey", finetune.object_in(answer).alias("found"))
 
 
-@query()
-def layout_flatten(spark, d):
-    k = F.col("p_partkey")
-    tree = F.concat(F.lit('{"kids": [{"type": "heading", "content": "'), F.col("p_name"), F.lit('", "kids": [{"type": "paragraph", "content": "p'), k.cast("string"), F.lit('"}]}, {"type": "list", "list items": [{"type": "list item", "content": "i"}]}]}'))
-    return enrich.flatten_layout(table(spark, d, "part").select(k.alias("report_id"), tree.alias("layout")))
-
-
 @query(f"""
 with c as (select report_id, type, count(*) as n from ({SYNTH_STRICT}) group by all)
 select report_id, sum(n)::bigint as iocs, string_agg(type || '=' || n, ',' order by type) as summary, 'cti-enriched-lite-v1' as version from c group by report_id
@@ -873,14 +859,6 @@ def pipeline_routes(spark, d):
     return routes.select("report_id", "strict_count", "needs_retry", "ioc_count", "human_review")
 
 
-@query()
-def report_pipeline(spark, d):
-    reports = synth(spark, d).select("report_id", "text", F.col("report_id").alias("report_title"), F.lit("https://x/").alias("original_link"), F.lit("").alias("source"), F.lit("a.pdf").alias("pdf_file"))
-    sections = reports.select("report_id", F.lit(1).alias("ord"), F.lit("Appendix IOC").alias("section_title"), text.refang(F.col("text")).alias("text"))
-    out = pipeline.run(reports, sections, techniques(spark, d), net.suffix_rules(spark))
-    return out.routes.select("report_id", "strict_count", "ioc_count", "fallback_used", "rule_count", "invalid_count", "human_review_required", F.size("events").alias("events"))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indicators of urls and texts by type: how many, how different, in how many reports."""
     pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("report_id"), F.col("url").alias("text"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from reportloom.functions import text, yaml
 from reportloom.operators import kb as kb_ops
@@ -27,37 +31,70 @@ def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
 
+def _plain_pages(content: bytes) -> list[str]:
+    """Texts of the pages of a PDF whose pages show literal strings in one-byte encodings: enough for plain exports.
+
+    Objects are found by their marks; a page's content streams are inflated where they say so, and the strings that
+    are shown are joined, with a new line where the text's place moves. Fails where there is no page.
+    """
+    objects = {int(n): body for n, body in re.findall(rb"(?s)(\d+)\s+\d+\s+obj\b(.*?)\bendobj\b", content)}
+    escapes = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+    def literal(s: bytes) -> str:
+        plain = re.sub(rb"(?s)\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1] in b"01234567" else escapes.get(m[1], m[1]), s)
+        return plain.decode("latin-1")
+
+    pages = []
+    for body in objects.values():
+        if not re.search(rb"/Type\s*/Page\b", body):
+            continue
+        found = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
+        out = []
+        for ref in re.findall(rb"(\d+)\s+\d+\s+R", found[1]) if found else []:
+            head, _, rest = objects[int(ref)].partition(b"stream")
+            data = re.sub(rb"^\r?\n", b"", rest[: rest.rfind(b"endstream")])
+            data = zlib.decompress(data) if b"/FlateDecode" in head else data
+            for token in re.findall(rb"(?s)\((?:[^()\\]|\\.)*\)|\bT[dDm*]\B|\bT[dDm]\b|T\*|'", data):
+                if token[:1] == b"(":
+                    out.append(literal(token[1:-1]))
+                elif out and out[-1] != "\n":
+                    out.append("\n")
+        pages.append("".join(out).rstrip("\n"))
+    if not pages:
+        raise ValueError("no page found")
+    return pages
+
+
 def pdf_text(files: DataFrame) -> DataFrame:
     """file, page_count, text, extraction_errors of files (file, content); pages are marked, a page that fails is an error.
 
-    Needs pypdf on the executors; where it is missing every file has that one error and no text.
+    pypdf reads them where the executors have it. Elsewhere a plain reader does, which knows literal strings only.
     """
 
-    def run(batches):
+    def pages_of(content: bytes):
         import io
 
         try:
             from pypdf import PdfReader
         except ImportError:
-            PdfReader = None
+            return [lambda t=t: t for t in _plain_pages(content)]
+        return [p.extract_text for p in PdfReader(io.BytesIO(content)).pages]
+
+    def run(batches):
         for batch in batches:
             pages, texts, errors = [], [], []
             for content in batch.column(1).to_pylist():
-                found, wrong, n = [], [], 0
-                if PdfReader is None:
-                    wrong.append("pypdf is not installed")
-                else:
+                found, wrong, readers = [], [], []
+                try:
+                    readers = pages_of(content)
+                except Exception as exc:  # noqa: BLE001 - a broken file is a row's result
+                    wrong.append(f"file: {type(exc).__name__}: {exc}")
+                for k, read in enumerate(readers):
                     try:
-                        reader = PdfReader(io.BytesIO(content))
-                        n = len(reader.pages)
-                    except Exception as exc:  # noqa: BLE001 - a broken file is a row's result
-                        reader, wrong = None, [f"file: {type(exc).__name__}: {exc}"]
-                    for k in range(n):
-                        try:
-                            found.append(f"\n\n[Page {k + 1}]\n{reader.pages[k].extract_text() or ''}")
-                        except Exception as exc:  # noqa: BLE001 - as above
-                            wrong.append(f"page {k + 1}: {type(exc).__name__}: {exc}")
-                pages.append(n)
+                        found.append(f"\n\n[Page {k + 1}]\n{read() or ''}")
+                    except Exception as exc:  # noqa: BLE001 - as above
+                        wrong.append(f"page {k + 1}: {type(exc).__name__}: {exc}")
+                pages.append(len(readers))
                 texts.append("\n".join(found))
                 errors.append(wrong)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, pa.int32()), pa.array(texts, pa.string()), pa.array(errors, pa.list_(pa.string()))], names=["file", "page_count", "text", "extraction_errors"])
@@ -66,8 +103,9 @@ def pdf_text(files: DataFrame) -> DataFrame:
 
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
-    """file, title, source, year, link of a CSV download log; of several rows for a file the last one counts."""
-    rows = spark.read.csv(path, header=True, schema=METADATA, multiLine=True, enforceSchema=False)
+    """file, title, source, year, link of a CSV download log; of several rows for a file the last one counts. A log is a
+    file that one task reads, as its rows may span lines."""
+    rows = spark.read.csv(path, header=True, schema=METADATA, multiLine=True, enforceSchema=False, escape='"')
     # a log is one file, read in one piece because rows may span lines: its order is the row's number
     rows = rows.withColumn("__n", F.monotonically_increasing_id())
     last = rows.groupBy(F.col("Saved File").alias("file")).agg(F.max_by(F.struct("Title", "Source", "Year", "Link"), "__n").alias("x"))
@@ -107,7 +145,7 @@ def stix_objects(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode("objects").alias("o")).select("o.*")
 
 
-def knowledge_base(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def knowledge_base(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """A knowledge base in JSON lines; fails if there is none."""
     rows = spark.read.schema(schema).json(path)
     if rows.isEmpty():
@@ -117,8 +155,8 @@ def knowledge_base(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def labelled(spark: SparkSession, path: str, pattern: str = "*.tsv") -> DataFrame:
     """file, row_id, text, labels of labelled sets under a folder. row_id counts a file's rows from 1, those without
-    text or labels too, which are then left out."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).csv(path, sep="\t", header=True, schema="text1 string, labels string", multiLine=True, enforceSchema=False)
+    text or labels too, which are then left out. Each file is read by one task, as its rows may span lines."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).csv(path, sep="\t", header=True, schema="text1 string, labels string", multiLine=True, enforceSchema=False, escape='"')
     rows = rows.select(F.col("_metadata.file_path").alias("file"), "text1", "labels", F.monotonically_increasing_id().alias("n"))
     # a file with rows over several lines is read in one piece, so its rows' ids ascend in file order
     rows = rows.withColumn("row_id", F.row_number().over(Window.partitionBy("file").orderBy("n")))
@@ -132,16 +170,52 @@ def single_text(spark: SparkSession, said: str) -> DataFrame:
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header, strings only, whose first name may follow a byte order mark."""
-    rows = spark.read.csv(path, header=True, multiLine=True)
+    """A CSV file with a header, strings only, quotes doubled, whose first name may follow a byte order mark."""
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
     return rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
 
 
+def inputs(spark: SparkSession, file: str | None = None, folder: str | None = None) -> DataFrame:
+    """Reports of one file and of a folder's *.iocs.json files; fails if neither is given."""
+    parts = [reports_json(spark, file)] if file else []
+    if folder:
+        parts.append(spark.read.schema(REPORT).option("pathGlobFilter", "*.iocs.json").json(folder, multiLine=True).withColumn("file", _name()))
+    if not parts:
+        raise ValueError("give a file or a folder")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def jsonl(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
-    """path, line, value of JSON lines files, blank lines left out; the first `limit` of them (0: all)."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    rows = whole.withColumn("line", F.col("line") + 1).filter(text.strip(F.col("value")) != "")
-    return rows.orderBy("path", "line").limit(limit) if limit else rows
+    """path, line, value of JSON lines files, blank lines left out; the first `limit` of each file (0: all).
+
+    Files are read in pieces by many tasks. A line's number is its place in its piece and the lines of the pieces before,
+    whose counts, a row for each piece, are all that is gathered.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("piece"), F.monotonically_increasing_id().alias("id"), "value")
+    pieces = rows.groupBy("path", "piece").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    rows = rows.join(pieces.select("path", "piece", "first", before.alias("before")), ["path", "piece"])
+    rows = rows.select("path", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "value").filter(text.strip(F.col("value")) != "")
+    return first_rows(rows, limit, ["path"], ["line"]) if limit else rows
+
+
+def first_rows(rows: DataFrame, limit: int, by: list[str], order: list[str], zero: str = "all") -> DataFrame:
+    """The first `limit` rows of each group. zero: what a limit of 0 means, "all" rows (files of lines and rule corpora)
+    or "none" (labelled sets)."""
+    if not limit:
+        return rows if zero == "all" else rows.limit(0)
+    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return rows.withColumn("__n", n).filter(F.col("__n") <= limit).drop("__n")
+
+
+def completed(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """file, value: the files of a folder that an earlier run has written whole, that is, whose JSON parses."""
+    rows = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).select(_name().alias("file"), "value")
+    return rows.filter(F.try_parse_json("value").isNotNull())
+
+
+def _name() -> Column:
+    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
 
 
 def rule_texts(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
