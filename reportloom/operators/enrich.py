@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportloom.functions import net, text
+from reportloom.sources.tables import spread
 
 # Terms whose presence anywhere in a report's text is reported.
 ACTORS = ["APT-C-56", "Transparent Tribe", "APT36", "ProjectM", "C-Major", "SideCopy", "Sidewinder"]
@@ -66,8 +67,9 @@ def sections(elements: DataFrame) -> DataFrame:
 
     Text before the first heading belongs to "unknown"; a heading without text below it is no section.
     """
-    rows = elements.withColumn("content", text.normalize_layout(F.col("content"))).filter(F.col("content") != "")
-    rows = rows.filter(F.col("type").isin("heading", *TEXT_TYPES))
+    # what has a character other than white space has one after normalizing too, so blanks go before that work
+    rows = elements.filter(F.col("type").isin("heading", *TEXT_TYPES) & text.text_of(F.col("content")).rlike(f"{text.UNICODE}[^\\s\\x1c-\\x1f]"))
+    rows = spread(rows).withColumn("content", text.normalize_layout(F.col("content")))
     heading = F.col("type") == "heading"
     run = F.count_if(heading).over(Window.partitionBy("report_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     runs = rows.withColumn("run", run).groupBy("report_id", "run")

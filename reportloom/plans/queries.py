@@ -491,7 +491,7 @@ select doc_id, (row_number() over (partition by doc_id order by i))::int as chun
 
 @query(f"select doc_id, chunk_index, md5(text) as text from ({CHUNKS})")
 def evidence_chunks(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(text.chunks(F.col("text"))).alias("c"))
+    rows = tables.spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(text.chunks(F.col("text"))).alias("c"))
     return rows.select("doc_id", "c.chunk_index", F.md5(F.col("c.text").cast("binary")).alias("text"))
 
 
