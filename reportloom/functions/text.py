@@ -123,9 +123,16 @@ def cut(pieces: Column, start: Column, end: Column) -> Column:
     return F.substring(F.array_join(some, ""), start - first * BLOCK + 1, end - start)
 
 
-def context(pieces: Column, start: Column, end: Column, size: int = 180) -> Column:
-    """The characters around places start to end (from 0) of a text in blocks(), white space collapsed."""
-    return collapse(cut(pieces, F.greatest(start - size, F.lit(0)), end + size))
+def even(c: Column) -> Column:
+    """Has a text no white space but single spaces, so that collapse() only trims what is cut out of it?"""
+    return ~text_of(c).rlike(rf"{UNICODE}[{WS}&&[^ ]]| {{2}}")
+
+
+def context(pieces: Column, start: Column, end: Column, size: int = 180, even: Column | None = None) -> Column:
+    """The characters around places start to end (from 0) of a text in blocks(), white space collapsed. even: even()
+    of the whole text, where it is known."""
+    around = cut(pieces, F.greatest(start - size, F.lit(0)), end + size)
+    return collapse(around) if even is None else F.when(even, F.trim(around)).otherwise(collapse(around))
 
 
 def has_placeholder(c: Column) -> Column:
@@ -138,8 +145,7 @@ def has_placeholder(c: Column) -> Column:
 
 def is_masked(pieces: Column, start: Column, end: Column) -> Column:
     """A star or redaction mark within 8 characters of places start to end of a text in blocks()."""
-    near = F.lower(cut(pieces, F.greatest(start - 8, F.lit(0)), end + 8))
-    return near.contains("*") | near.contains("[redacted")
+    return cut(pieces, F.greatest(start - 8, F.lit(0)), end + 8).rlike(r"(?i)\*|\[redacted")
 
 
 def shorten(c: Column, most: int) -> Column:
@@ -230,14 +236,15 @@ def marked(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, f"({pattern})", "\u0001$1\u0001"), "\u0001", -1)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array(struct(start, end, value)) of all matches, places from 0, in order. No U+0001 may be in text."""
+def places(parts: Column) -> Column:
+    """array(struct(start, end, value)) of the matches in marked() parts, places from 0, in order; none if null."""
+    at = lambda ends: lambda i: F.struct(F.get(ends, 2 * i - 2).alias("start"), F.get(ends, 2 * i - 1).alias("end"), F.get(parts, 2 * i - 1).alias("value"))
+    found = bound(scan(F.transform(parts, F.length), lambda a, b: a + b), lambda ends: F.transform(F.sequence(F.lit(1), F.floor(F.size(parts) / 2).cast("int")), at(ends)))
+    return F.when(F.size(parts) > 1, found).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
-    def places(parts: Column) -> Column:
-        at = lambda ends: lambda i: F.struct(F.get(ends, 2 * i - 2).alias("start"), F.get(ends, 2 * i - 1).alias("end"), F.get(parts, 2 * i - 1).alias("value"))
-        found = bound(scan(F.transform(parts, F.length), lambda a, b: a + b), lambda ends: F.transform(F.sequence(F.lit(1), F.floor(F.size(parts) / 2).cast("int")), at(ends)))
-        return F.when(F.size(parts) > 1, found).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
+def matches(text: Column, pattern: str) -> Column:
+    """array(struct(start, end, value)) of all matches, places from 0, in order. No U+0001 may be in text."""
     return bound(marked(text, pattern), places)
 
 

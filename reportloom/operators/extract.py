@@ -66,19 +66,23 @@ def found(reports: DataFrame, kinds: list[str] | None = None) -> DataFrame:
 
     All patterns run on one refanged column; only matches with their surroundings leave the row.
     """
-    none = F.array().cast("array<struct<phase:int,kind:string,start:int,end:int,value:string>>")
     wanted = [(phase, kind, pattern) for phase, (kind, pattern) in enumerate(PATTERNS) if kinds is None or kind in kinds]
+    tags = F.array(*[F.struct(F.lit(phase).alias("phase"), F.lit(kind).alias("kind")) for phase, kind, _ in wanted])
 
     def all_of(body: Column) -> Column:
-        lists = [F.when(body.rlike(SIGNS[kind]), _tagged(text.matches(body, pattern), phase, kind)).otherwise(none) for phase, kind, pattern in wanted]
-        return text.bound(F.concat(*lists), lambda found: text.bound(text.blocks(body), lambda pieces: F.transform(found, lambda m: around(m, pieces))))
+        # null where a kind's sign is not seen; what follows is one expression for all kinds
+        parts = F.array(*[F.when(body.rlike(SIGNS[kind]), text.marked(body, pattern)) for _, kind, pattern in wanted])
+        about = F.struct(text.blocks(body).alias("pieces"), text.even(body).alias("even"))
+        return text.bound(about, lambda whole: F.flatten(F.transform(parts, lambda p, k: F.transform(text.places(p), lambda m: around(m, F.get(tags, k), whole)))))
 
-    def around(m: Column, pieces: Column) -> Column:
+    def around(m: Column, tag: Column, whole: Column) -> Column:
         return F.struct(
-            *[m[n].alias(n) for n in ("phase", "kind", "start")],
+            tag["phase"].alias("phase"),
+            tag["kind"].alias("kind"),
+            m["start"].alias("start"),
             m["value"].alias("raw"),
-            text.context(pieces, m["start"], m["end"]).alias("context"),
-            text.is_masked(pieces, m["start"], m["end"]).alias("masked"),
+            text.context(whole["pieces"], m["start"], m["end"], even=whole["even"]).alias("context"),
+            text.is_masked(whole["pieces"], m["start"], m["end"]).alias("masked"),
         )
 
     # the refanged text is bound, or else it would be made again wherever it is used
@@ -87,10 +91,6 @@ def found(reports: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     return rows.select("report_id", F.explode(found).alias("m")).select("report_id", "m.*")
 
 
-def _tagged(matches: Column, phase: int, kind: str) -> Column:
-    return F.transform(matches, lambda m: F.struct(F.lit(phase).alias("phase"), F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
-
-
 def candidates(matches: DataFrame, rules: DataFrame, strict: bool = True) -> DataFrame:
     """matches with run-together urls split, and value, host's registered domain and suffix added."""
     whole = text.clean(F.col("raw"))
