@@ -46,6 +46,15 @@ def test_places_in_long_texts(spark):
         assert got.sum == [sum(values[: k + 1]) for k in range(len(values))] and got.max == [max(values[: k + 1]) for k in range(len(values))]
 
 
+def test_even_spaces_do_not_change_contexts(spark):
+    texts = ["a b c", " a b ", "a  b", "a\tb c", "a\x1fb", "x\u00a0y z", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    even, pieces = text.even(F.col("t")), text.blocks(F.col("t"))
+    got = rows.select(even.alias("even"), *[text.context(pieces, F.lit(1), F.lit(2), 3, e).alias(n) for n, e in (("a", even), ("b", None))]).collect()
+    assert [r.even for r in got] == [True, True, False, False, False, False, True, True]
+    assert all(r.a == r.b for r in got)
+
+
 def test_many_matches(spark):
     t = "é x1 " * 50_000
     got = spark.createDataFrame([(t,)], "t string").select(F.explode(text.matches(F.col("t"), "[a-z][0-9]")).alias("m")).agg(F.count("m"), F.max("m.start")).first()
