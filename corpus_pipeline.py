@@ -1,4 +1,8 @@
-"""From raw documents to token ids: rules, line dedup, near-dedup, mixing, encoding."""
+"""From raw documents to token ids: rules, line dedup, near-dedup, mixing, encoding.
+
+Edge cases: an empty table gives an empty one at every stage. Only the columns of documents are read and written, so
+others, and clashing names, do no harm. A null doc_id, lang or source is a value like any other.
+"""
 
 from __future__ import annotations
 
@@ -16,28 +20,32 @@ def _documents(rows: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the host-level rules keep."""
+    """Documents that the host-level rules keep. Null and empty texts have no words and go; repeated rows go or stay
+    together; a null source is a host of its own."""
     return quality_rules.judge(docs).filter("kept").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the multi-line chunks that an earlier document has; documents left without a word go."""
+    """Texts without the multi-line chunks that an earlier document has; documents left without a word go, but one
+    from which nothing was removed stays, be it null or empty. Repeated rows are one document and lose the same."""
     out = line_dedup.dedup(docs)
     return _documents(out.filter((F.col("n_removed") == 0) | F.col("text").rlike(mixing.WORD)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies; null and empty texts are copies of each other, and one row of
+    repeated rows stays."""
     return simhash.one_of_each(docs).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, in its order; null and empty texts are never taken."""
     return _documents(mixing.apply(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document: doc_id, source, n_tokens, ids, exact (do they decode to the text?)."""
+    """Token ids of each document: doc_id, source, n_tokens, ids, exact (do they decode to the text?). A null text has
+    null ids, an empty one none."""
     return sentence_pieces.encode(docs, keep_text=False, check=True).select("doc_id", "source", "n_tokens", "ids", "exact")
 
 
