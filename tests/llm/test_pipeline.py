@@ -54,3 +54,17 @@ def test_mix_is_written_in_the_order_of_slots(spark, tmp_path):
     for r in corpus_pipeline.mix(spark, docs, "").collect():
         once.setdefault(r.doc_id, len(once))
     assert sorted(once, key=once.get) == sorted(once, key=lambda k: slots[k])
+
+
+def test_null_and_empty_texts_stage_by_stage(spark):
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    t = words(60, 1, 10**6)
+    rows = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, t, "en", None, 9), (3, t, "en", None, 9), (4, words(60, 2, 10**6), "en", "s", 9)]
+    docs = spark.createDataFrame(rows, shape)
+    ids = lambda out: sorted(r.doc_id for r in out.collect())
+    assert ids(corpus_pipeline.quality(spark, docs, "")) == [3, 3, 4]
+    assert ids(corpus_pipeline.lines(spark, docs, "")) == [1, 2, 3, 3, 4]
+    assert ids(corpus_pipeline.near_copies(spark, docs, "")) == [1, 3, 4]
+    assert not {1, 2} & set(ids(corpus_pipeline.mix(spark, docs, "")))
+    ids_of = {r.doc_id: r.ids for r in corpus_pipeline.encode(spark, docs, "").collect()}
+    assert ids_of[1] is None and ids_of[2] == [] and ids_of[3]
