@@ -7,12 +7,13 @@
    and international telephone numbers that the base pattern runs beyond, and secrets given to a name.
 3. Boosted trees score candidates by format and context features; the outcome of a check is none of them. They
    learn from the base patterns' matches, what passed its check against what failed, and from secrets, where values
-   of letters and digits count as right. Equal features are counted together, so that a bounded table of feature
-   combinations (CELLS at most, the most frequent) is all that is fitted.
-4. A quarter of the documents, by a hash of the text, is left out of the trees. For each kind, the least score from
-   which PRECISION of that quarter's candidates are right is the threshold, 0.5 at least; a kind of which the
-   quarter has one outcome only has the threshold over all kinds, and 0.5 where that has one outcome only.
-   Generated candidates above it that overlap no base span are added; of a run of overlapping ones the best stays.
+   of letters and digits count as right. Equal features are counted together in cells, and every cell of every
+   document is fitted: on the driver up to DRIVER_CELLS cells, beyond that by sums over the table of cells.
+4. For the thresholds the documents are dealt to FOLDS parts, by a hash of the text, and each part is scored by trees of
+   the other parts (of its own where no other has any). For each kind, the least score from which PRECISION of all
+   documents' candidates are right is the threshold, 0.5 at least; a kind with one outcome only has the threshold
+   over all kinds, and 0.5 where these have one outcome only. Generated candidates above it, as the trees of all
+   documents score them, that overlap no base span are added; of a run of overlapping ones the best stays.
 
 The trees become CASE expressions, so training counts, scores and selection all run as plain expressions. The
 patterns are written so that neither long runs nor deep nesting make the matcher back up or recurse. Places come from
@@ -33,18 +34,22 @@ from pyspark.sql import functions as F
 from reportloom.functions.text import bound, cut, marked, scan
 from reportloom.functions.text import blocks as in_blocks
 from reportloom.llm import boosting
-from reportloom.llm.runtime import cleared, materialize
+from reportloom.llm.runtime import cleared, discard, materialize, sums_before
 
 KINDS = ["email", "ip", "card", "phone"]
 # Found by generators only, and kept apart from the spans of KINDS.
 SECRET = len(KINDS)
-CELLS = 20_000
+# Stands for all kinds together.
+ALL = -1
+# Up to so many combinations of features are fitted on the driver.
+DRIVER_CELLS = 200_000
+TREES = {"trees": 20, "depth": 3, "least": 2.0}
 PRECISION = 0.95
 CONTEXT = 24
 FEATURES = 11
 LABELS = 8
-# One document in so many is left out of the trees.
-LEFT_OUT = 4
+# Parts of the documents, each scored by trees of the others.
+FOLDS = 4
 
 # Each matches what the pattern beside it does, leftmost, in linear time: a run's later starts are skipped unless
 # the match before ended there (\G), and runs of groups are one class that ends before the first misfit.
@@ -181,32 +186,77 @@ def listed(spans: Column) -> Column:
 def _train(rows: DataFrame) -> tuple[tuple[float, list], list[float]]:
     """The trees, and the threshold of each kind (above 1 where none is precise enough)."""
     one = rows.select("__part", F.explode("__found").alias("c")).filter("c.ok is not null")
-    columns = features(F.col("c"))
     names = [f"f{k}" for k in range(FEATURES)]
-    cells = one.select("__part", *[c.alias(n) for c, n in zip(columns, names, strict=True)], F.col("c.ok").alias("ok"))
-    cells = cells.groupBy(F.col("__part").alias("part"), *names).agg(F.count_if("ok").alias("yes"), F.count_if(~F.col("ok")).alias("no"))
-    cells = cells.orderBy((F.col("yes") + F.col("no")).desc(), "part", *names).limit(CELLS).collect()
-    if not cells:
+    cells = one.select("__part", *[c.alias(n) for c, n in zip(features(F.col("c")), names, strict=True)], F.col("c.ok").alias("ok"))
+    counts = lambda ok: F.array(*[F.count_if(ok & (F.col("__part") == k)) for k in range(FOLDS)])
+    cells = materialize(cells.groupBy(*names).agg(counts(F.col("ok")).alias("yes"), counts(~F.col("ok")).alias("no")), "cells")
+    n, *sizes = cells.agg(F.count(F.lit(1)), *[F.sum(F.get("yes", F.lit(k)) + F.get("no", F.lit(k))) for k in range(FOLDS)]).first()
+    if not n:
         return (0.0, []), [2.0] * (SECRET + 1)
-    x = np.array([[r[n] for n in names] for r in cells], np.int64)
-    yes, no = (np.array([r[n] for r in cells], np.float64) for n in ("yes", "no"))
-    left_out = np.array([r["part"] == 0 for r in cells])
-    use = ~left_out if (~left_out).any() else left_out
-    model = boosting.fit(x[use], yes[use], no[use], trees=20, depth=3, least=2.0)
-    score = boosting.predict(model, x)
-
-    def limit(own: np.ndarray, other: float) -> float:
-        own = own[np.argsort(-score[own], kind="stable")]
+    full = [k for k in range(FOLDS) if sizes[k]]
+    # without each part in turn (with it, where no other has any), and at last of all parts
+    parts = [[j for j in full if j != k] or full for k in range(FOLDS)] + [full]
+    models, seen = (_on_driver if n <= DRIVER_CELLS else _over_table)(cells, names, parts)
+    discard(cells)
+
+    def threshold(kind: int, other: float) -> float:
+        yes, no, least = seen.get(kind, (0, 0, None))
         # a threshold is known only where both outcomes were seen
-        if not (yes[own].sum() and no[own].sum()):
+        if not (yes and no):
             return other
+        return 2.0 if least is None else max(0.5, least - 1e-9)
+
+    overall = threshold(ALL, 0.5)
+    return models[-1], [threshold(k, overall) for k in range(SECRET + 1)]
+
+
+def _on_driver(cells: DataFrame, names: list[str], parts: list[list[int]]) -> tuple[list, dict]:
+    """The trees of each list of parts, and by kind, and for ALL: how many are right, how many wrong, and the least score
+    from which PRECISION are right, each part scored by the trees without it."""
+    table = cells.toArrow()  # at most DRIVER_CELLS rows
+    x = np.column_stack([table.column(n).to_numpy() for n in names]).astype(np.int16)
+    order = np.lexsort(x.T[::-1])
+    x = x[order]
+    yes, no = (table.column(c).combine_chunks().flatten().to_numpy().reshape(-1, FOLDS)[order].astype(np.float64) for c in ("yes", "no"))
+    models = []
+    for own in parts:
+        right, wrong = yes[:, own].sum(axis=1), no[:, own].sum(axis=1)
+        use = right + wrong > 0
+        models.append(boosting.fit(x[use], right[use], wrong[use], **TREES))
+    score = np.concatenate([boosting.predict(models[k], x) for k in range(FOLDS)])
+    kinds, yes, no = np.tile(x[:, 0], FOLDS), yes.T.ravel(), no.T.ravel()
+    seen = {}
+    for kind in [ALL, *range(SECRET + 1)]:
+        own = np.flatnonzero((yes + no > 0) & ((kinds == kind) | (kind == ALL)))
+        own = own[np.argsort(-score[own], kind="stable")]
         right, all_ = np.cumsum(yes[own]), np.cumsum(yes[own] + no[own])
         # only between different scores
         good = own[(right >= PRECISION * all_) & np.append(score[own][1:] < score[own][:-1], True)]
-        return max(0.5, float(score[good].min()) - 1e-9) if len(good) else 2.0
+        seen[kind] = yes[own].sum(), no[own].sum(), float(score[good].min()) if len(good) else None
+    return models, seen
+
+
+def _over_table(cells: DataFrame, names: list[str], parts: list[list[int]]) -> tuple[list, dict]:
+    """The same where the cells are too many for the driver."""
+    count = lambda c, own: sum((F.get(c, F.lit(k)) for k in own[1:]), F.get(c, F.lit(own[0])))
+    models = boosting.fit_table(cells, names, [count("yes", own) for own in parts], [count("no", own) for own in parts], **TREES)
+    columns = [F.col(n) for n in names]
+    scored = [F.struct(boosting.as_column(models[k], columns).alias("score"), count("yes", [k]).alias("yes"), count("no", [k]).alias("no")) for k in range(FOLDS)]
+    scores = cells.select(columns[0].alias("own"), F.explode(F.array(*scored)).alias("s")).select(F.explode(F.array("own", F.lit(ALL))).alias("kind"), "s.*")
+    scores = scores.filter("yes + no > 0").groupBy("kind", "score").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    scores = materialize(scores, "scores")
+    totals = {r["kind"]: (r["yes"], r["no"]) for r in scores.groupBy("kind").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).collect()}
+
+    def of_kinds_before(k: int) -> Column:
+        sums = [(kind, sum(t[k] for other, t in totals.items() if other < kind)) for kind in totals]
+        return F.element_at(F.create_map(*[F.lit(v) for pair in sums for v in pair]), F.col("kind"))
 
-    overall = limit(np.flatnonzero(left_out), 0.5)
-    return model, [limit(np.flatnonzero(left_out & (x[:, 0] == k)), overall) for k in range(SECRET + 1)]
+    # the sums run through the kinds one after the other
+    summed = sums_before(scores, [F.col("kind"), F.col("score").desc()], {"right": F.col("yes"), "wrong": F.col("no")})
+    right, wrong = F.col("right") + F.col("yes") - of_kinds_before(0), F.col("wrong") + F.col("no") - of_kinds_before(1)
+    least = {r["kind"]: r["least"] for r in summed.filter(right >= PRECISION * (right + wrong)).groupBy("kind").agg(F.min("score").alias("least")).collect()}
+    discard(scores)
+    return models, {kind: (*t, least.get(kind)) for kind, t in totals.items()}
 
 
 def _apart(base: Column, scored: Column) -> Column:
@@ -238,7 +288,7 @@ def find(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFra
     counts = [f"n_{k}" for k in KINDS]
     docs = cleared(docs, [*counts, "n_spans", "base", "spans", "secrets", "__found", "__part", "__added"], keep=[text])
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumns({"__found": _candidates(t), "__part": F.pmod(F.xxhash64(t), F.lit(LEFT_OUT))})
+    rows = docs.withColumns({"__found": _candidates(t), "__part": F.pmod(F.xxhash64(t), F.lit(FOLDS))})
     if not keep_text:
         rows = materialize(rows.drop(text), "candidates")
     model, limits = _train(rows)

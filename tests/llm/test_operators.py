@@ -463,6 +463,24 @@ def test_trees_as_columns(spark):
     assert np.allclose([r.p for r in got], want)
 
 
+def test_trees_over_a_table(spark):
+    """Two models at once, the second without a third of the rows, as fit() has them one by one."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 10, (400, 3))
+    yes = rng.integers(0, 5, (400, 2)) * ((x[:, :1] > 5) ^ (x[:, 1:2] > 3))
+    no = rng.integers(0, 3, (400, 2))
+    yes[:130, 1] = no[:130, 1] = 0
+    cells = spark.createDataFrame([(*map(int, r), *map(int, y), *map(int, n)) for r, y, n in zip(x, yes, no, strict=True)], "a int, b int, c int, y0 long, y1 long, n0 long, n1 long")
+    got = boosting.fit_table(cells, ["a", "b", "c"], [F.col("y0"), F.col("y1")], [F.col("n0"), F.col("n1")], trees=4)
+    for k in range(2):
+        use = yes[:, k] + no[:, k] > 0
+        model = boosting.fit(x[use], yes[use, k].astype(float), no[use, k].astype(float), trees=4)
+        assert len(got[k][1]) == len(model[1]) == 4
+        assert np.allclose(boosting.predict(got[k], x), boosting.predict(model, x), atol=1e-5)
+    empty = boosting.fit_table(cells.limit(0), ["a"], [F.col("y0")], [F.col("n0")])
+    assert empty == [(0.0, [])]
+
+
 # ---- order MinHash -------------------------------------------------------------------------------------------
 
 
@@ -817,6 +835,59 @@ def test_checks_are_not_learned(spark):
     assert all(x.n_card == len(x.spans) == k % 2 for k, x in enumerate(got[:300])) and not got[300].spans
 
 
+def test_thresholds_come_from_all_documents(spark):
+    """One part's cards all pass, the others' seldom enough: over all documents no score is precise enough."""
+    r = random.Random(10)
+    cards = ["".join(r.choice("0123456789") for _ in range(16)) for _ in range(6000)]
+    texts = [f"a {c} b" for c in cards]
+    parts = [p for (p,) in spark.createDataFrame([(t,) for t in texts], "t string").select(F.pmod(F.xxhash64("t"), F.lit(4))).collect()]
+
+    def some(part, good, n):
+        return [t for t, c, p in zip(texts, cards, parts, strict=True) if (p == 0) == (part == 0) and luhn(c) == good][:n]
+
+    texts = [*some(0, True, 80), *some(1, True, 150), *some(1, False, 100), "pay 4111.1111.1111.1111 now"]
+    got = pii.find(table(spark, texts)).orderBy("doc_id").collect()
+    assert [len(x.spans) for x in got] == [1] * 230 + [0] * 101
+
+
+@pytest.mark.parametrize("on_driver", [True, False])
+def test_all_combinations_of_features_count(spark, on_driver, monkeypatch):
+    """50,000 combinations, of which the 30,000 seen once are wrong."""
+    monkeypatch.setattr(pii, "features", lambda c: [c["kind"], *[F.floor(c["x"] / 20**k).cast("int") % 20 for k in range(4)], *[F.lit(0)] * 6])
+    if not on_driver:
+        monkeypatch.setattr(pii, "DRIVER_CELLS", 49_999)
+        monkeypatch.setattr(pii, "TREES", pii.TREES | {"trees": 2})
+    one = F.struct(F.lit(1).alias("kind"), (F.col("id") * 7919 % 160_000).alias("x"), (F.col("id") < 20_000).alias("ok"))
+    rows = spark.range(50_000).select((F.col("id") % 4).alias("__part"), F.array_repeat(one, F.when(F.col("id") < 20_000, 2).otherwise(1)).alias("__found"))
+    (start, _), limits = pii._train(rows)
+    assert start == pytest.approx(np.log(40_000.5 / 30_000.5))
+    # what the right ones alone would give
+    assert min(limits) > 0.5
+
+
+def test_thresholds_beyond_the_driver(spark, monkeypatch):
+    """The same trees and thresholds where the combinations are too many for the driver."""
+    r = random.Random(11)
+    monkeypatch.setattr(pii, "features", lambda c: [c["kind"], *[F.get(c["f"], F.lit(k)) for k in range(10)]])
+    monkeypatch.setattr(pii, "TREES", pii.TREES | {"trees": 5})
+    rows = []
+    for k in range(1500):
+        kind, f = r.choice([0, 1, 2, 4]), [r.randrange(8) for _ in range(10)]
+        rows.append((k % 4 if k < 1200 else 1, [(kind, f, kind == 4 or r.random() < (0.99 if f[kind] > 3 else 0.4))]))
+    rows = spark.createDataFrame(rows, "__part int, __found array<struct<kind:int,f:array<int>,ok:boolean>>")
+    model, limits = pii._train(rows)
+    monkeypatch.setattr(pii, "DRIVER_CELLS", 0)
+    over_table, same = pii._train(rows)
+    assert same == pytest.approx(limits, abs=1e-5) and 0.5 < limits[0] < 1 and limits[3] == limits[4]
+    x = np.array([[r.randrange(5), *[r.randrange(8) for _ in range(10)]] for _ in range(500)])
+    assert np.allclose(boosting.predict(over_table, x), boosting.predict(model, x), atol=1e-5)
+    # all in one part: no other has trees for it
+    rows = rows.withColumn("__part", F.lit(2))
+    alone = pii._train(rows)[1]
+    monkeypatch.setattr(pii, "DRIVER_CELLS", 1500)
+    assert alone == pytest.approx(pii._train(rows)[1], abs=1e-5)
+
+
 def test_many_matches_in_one_text(spark):
     text = "ab@c.d, 10.0.0.1 +1 (415) 555-2671; " * 30_000
     began = time.time()
